@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import ngram_jaccard
+from llm import bpe, ngram_jaccard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": ngram_jaccard.query,
+    "op8_bpe": bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
