@@ -10,10 +10,12 @@ nearly all distances are 1, so that every window holds every pivot. The first
 level therefore takes the points {s}, sets of one shingle: the pivots nearest
 to a document are its own shingles, all equally near, and ties are broken by
 one order of all shingles, rare ones first. Two documents within the radius
-differ in few shingles, so the window of a document is the short prefix of
-its shingles in that order: n - ceil(0.8 n) + 1 of them. Each such pivot
-hands its region to its least document, the leader, so that the regions of a
-group of near copies fall together. Within a leader's region the second level
+differ in few shingles, so the window of a document is a short prefix of
+its shingles in that order: of its first n - ceil(0.8 n) + k shingles, k at
+least are shared with any document within the radius. Documents that share
+fewer of them with any other stand in no region. Each remaining pivot hands
+its region to its least document, the leader, so that the regions of a group
+of near copies fall together. Within a leader's region the second level
 draws documents as pivots: there the distances differ, and the windows
 d(x, q) <= d(x, p) + 2 r of Voronoi regions apply, recursively. What falls
 into a pivot's ball is linked to it and needs no tests among itself.
@@ -104,6 +106,16 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def spare(n: int, percent: int) -> int:
+    """Shingles of n that a document within the radius may lack."""
+    return n - (percent * n + 99) // 100
+
+
+def sure(n: int, percent: int) -> int:
+    """Shared shingles that the window is long enough for; never falls as n grows."""
+    return max(1, spare(n, percent) // 2)
+
+
 def _described(batches: Iterator[pa.RecordBatch], width: int, percent: int, levels: bytes) -> Iterator[pa.RecordBatch]:
     level = np.frombuffer(levels, np.uint8).astype(_U) << _U(58)
     for batch in vt.pieces(batches):
@@ -115,7 +127,7 @@ def _described(batches: Iterator[pa.RecordBatch], width: int, percent: int, leve
         for i in range(len(n)):
             k = key[bounds[i] : bounds[i + 1]]
             k.sort()
-            out.append(k[: len(k) - (percent * len(k) + 99) // 100 + 1].tobytes() if len(k) else b"")
+            out.append(k[: spare(len(k), percent) + sure(len(k), percent)].tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), _signed(_sums(vt.mixed(w ^ _U(0x5851F42D4C957F2D)), bounds)), _signed(_sums(vt.mixed(w ^ _U(0x14057B7EF767814F)), bounds)), pa.array(out, pa.binary())],
             ["doc_id", "n_shingles", "set_id", "set_id2", "prefix"],
@@ -298,11 +310,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     sets = described.where("n_shingles > 0 and doc_id is not null").groupBy("set_id", "set_id2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
     sets = stashed(sets)
 
-    # first level: who shares a pivot, and the leader of each pivot's region
+    # first level: who shares enough pivots, and the leader of each pivot's region
     windows = sets.select("set_id", "prefix").mapInArrow(_windows, "pivot long, set_id long")
     by_pivot = Window.partitionBy("pivot")
-    regions = windows.withColumn("leader", F.min("set_id").over(by_pivot)).withColumn("m", F.count("*").over(by_pivot)).where("m > 1").select("leader", "set_id").distinct()
-    regions = regions.join(sets.select("set_id", "rep", "n_shingles"), "set_id")
+    shared = stashed(windows.withColumn("m", F.count("*").over(by_pivot)).where("m > 1").select("pivot", "set_id"))
+    # the least partner has ceil(0.8 n) shingles, and its window is as long as that asks
+    n = F.expr(f"({percent} * n_shingles + 99) div 100")
+    needed = F.greatest(F.lit(1), (n - F.expr(f"({percent} * (({percent} * n_shingles + 99) div 100) + 99) div 100")).cast("long") / 2).cast("long")
+    enough = shared.groupBy("set_id").agg(F.count("*").alias("have")).join(sets.select("set_id", "rep", "n_shingles"), "set_id").where(F.col("have") >= needed).drop("have")
+    regions = shared.join(enough, "set_id").withColumn("leader", F.min("set_id").over(by_pivot)).withColumn("m", F.count("*").over(by_pivot)).where("m > 1").select("leader", "set_id", "rep", "n_shingles").distinct()
     weights = (regions := stashed(regions)).groupBy("leader").agg(F.ceil(F.sum("n_shingles") / F.lit(region_shingles)).cast("int").alias("blocks"))
     regions = regions.join(weights, "leader").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     regions = regions.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
