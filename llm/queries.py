@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import bpe, ngram_jaccard
+from llm.shared import shipped
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipping(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shipped(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_PLAIN: dict[str, Query] = {
     "op2_ngram_jaccard_join": ngram_jaccard.query,
     "op8_bpe": bpe.query,
 }
 
+QUERIES: dict[str, Query] = {name: _shipping(query) for name, query in _PLAIN.items()}
+
 ORACLE_SQL: dict[str, str] = {}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this subpackage to the Python workers, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_llm_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    to = Path(tempfile.mkdtemp(prefix="llm-code-")) / "llm_code.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(here.glob("*.py")):
+            z.write(f, f"llm/{f.name}")
+    context.addPyFile(str(to))
+    context._llm_shipped = True
+
+
 def stashed(df: DataFrame) -> DataFrame:
     """The same rows, read back from a table written in the shared folder.
 
