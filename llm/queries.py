@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, ngram_jaccard
+from llm import bpe, decontaminate, ngram_jaccard
 from llm.shared import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def _shipping(query: Query) -> Query:
 
 _PLAIN: dict[str, Query] = {
     "op2_ngram_jaccard_join": ngram_jaccard.query,
+    "op4_decontamination": decontaminate.query,
     "op8_bpe": bpe.query,
 }
 
