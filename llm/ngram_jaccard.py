@@ -12,10 +12,10 @@ to a document are its own shingles, all equally near, and ties are broken by
 one order of all shingles, rare ones first. Two documents within the radius
 differ in few shingles, so the window of a document is a short prefix of
 its shingles in that order: of its first n - ceil(0.8 n) + k shingles, k at
-least are shared with any document within the radius. Documents that share
-fewer of them with any other stand in no region. Each remaining pivot hands
-its region to its least document, the leader, so that the regions of a group
-of near copies fall together. Within a leader's region the second level
+least are shared with any document within the radius. Each such pivot hands its
+region to its least document, the leader, so that the regions of a group of
+near copies fall together. A document that shares too few of its pivots stands
+in no region, and one that shares few of them in a leader's region, not there. Within a leader's region the second level
 draws documents as pivots: there the distances differ, and the windows
 d(x, q) <= d(x, p) + 2 r of Voronoi regions apply, recursively. What falls
 into a pivot's ball is linked to it and needs no tests among itself.
@@ -116,18 +116,21 @@ def sure(n: int, percent: int) -> int:
     return max(1, spare(n, percent) // 2)
 
 
-def _described(batches: Iterator[pa.RecordBatch], width: int, percent: int, levels: bytes) -> Iterator[pa.RecordBatch]:
-    level = np.frombuffer(levels, np.uint8).astype(_U) << _U(58)
+def _described(batches: Iterator[pa.RecordBatch], width: int, percent: int, levels: bytes | None) -> Iterator[pa.RecordBatch]:
+    """Each text's set as its size and two hashes and, where levels order the shingles, its window: 6 bytes a pivot."""
+    level = np.frombuffer(levels, np.uint8).astype(_U) << _U(42) if levels else None
     for batch in vt.pieces(batches):
         data, offsets = vt.buffers(batch.column(1))
         w, bounds = shingles(data, offsets, width)
         n = np.diff(bounds)
-        key = level[(w >> _U(64 - SKETCH_BITS)).astype(np.int64)] | (w >> _U(6))
-        out = []
-        for i in range(len(n)):
-            k = key[bounds[i] : bounds[i + 1]]
-            k.sort()
-            out.append(k[: spare(len(k), percent) + sure(len(k), percent)].tobytes())
+        out = [None] * len(n)
+        if level is not None:  # 48 bits of a shingle: should two share them, their regions are one
+            key = level[(w >> _U(64 - SKETCH_BITS)).astype(np.int64)] | (w >> _U(22))
+            for i in range(len(n)):
+                k = key[bounds[i] : bounds[i + 1]]
+                k.sort()
+                k = k[: spare(len(k), percent) + sure(len(k), percent)]
+                out[i] = k.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), _signed(_sums(vt.mixed(w ^ _U(0x5851F42D4C957F2D)), bounds)), _signed(_sums(vt.mixed(w ^ _U(0x14057B7EF767814F)), bounds)), pa.array(out, pa.binary())],
             ["doc_id", "n_shingles", "set_id", "set_id2", "prefix"],
@@ -138,8 +141,9 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = vt.buffers(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        pivot = np.frombuffer(data.tobytes(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pivot), pa.array(np.repeat(ids, np.diff(offsets) // 8))], ["pivot", "set_id"])
+        pivot = np.zeros((len(data) // 6, 8), np.uint8)
+        pivot[:, :6] = data.reshape(-1, 6)
+        yield pa.RecordBatch.from_arrays([pa.array(pivot.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, np.diff(offsets) // 6))], ["pivot", "set_id"])
 
 
 def _bit(doc_id: np.ndarray) -> np.ndarray:
@@ -306,20 +310,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     levels = frequency_levels(rows, width)
-    described = stashed(rows.mapInArrow(lambda it: _described(it, width, percent, levels), "doc_id long, n_shingles long, set_id long, set_id2 long, prefix binary"))
-    sets = described.where("n_shingles > 0 and doc_id is not null").groupBy("set_id", "set_id2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    sets = stashed(sets)
-
-    # first level: who shares enough pivots, and the leader of each pivot's region
-    windows = sets.select("set_id", "prefix").mapInArrow(_windows, "pivot long, set_id long")
-    by_pivot = Window.partitionBy("pivot")
-    shared = stashed(windows.withColumn("m", F.count("*").over(by_pivot)).where("m > 1").select("pivot", "set_id"))
-    # the least partner has ceil(0.8 n) shingles, and its window is as long as that asks
+    columns = "doc_id long, n_shingles long, set_id long, set_id2 long, prefix binary"
+    windowed = rows.mapInArrow(lambda it: _described(it, width, percent, levels), columns)
+    described = stashed(rows.mapInArrow(lambda it: _described(it, width, percent, None), columns).drop("prefix"))
+    one_of_each = lambda df, *more: df.where("n_shingles > 0 and doc_id is not null").groupBy("set_id", "set_id2", "n_shingles").agg(F.min("doc_id").alias("rep"), *more)
+    sets = one_of_each(described)
+
+    # first level: the leaders of each set's pivots, and how many pivots each leads
+    windows = one_of_each(windowed, F.first("prefix").alias("prefix")).select("set_id", "prefix").mapInArrow(_windows, "pivot long, set_id long")
+    by_pivot, by_set = Window.partitionBy("pivot"), Window.partitionBy("set_id")
+    led = windows.withColumn("leader", F.min("set_id").over(by_pivot)).withColumn("m", F.count("*").over(by_pivot)).where("m > 1")
+    led = led.groupBy("set_id", "leader").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(by_set)).withColumn("leaders", F.count("*").over(by_set))
+    # The least partner has ceil(0.8 n) shingles, and so many pivots at least are shared with a document within the
+    # radius. They fall to at most `leaders` regions, so that one region both stand in has its part of them from both.
     n = F.expr(f"({percent} * n_shingles + 99) div 100")
-    needed = F.greatest(F.lit(1), (n - F.expr(f"({percent} * (({percent} * n_shingles + 99) div 100) + 99) div 100")).cast("long") / 2).cast("long")
-    enough = shared.groupBy("set_id").agg(F.count("*").alias("have")).join(sets.select("set_id", "rep", "n_shingles"), "set_id").where(F.col("have") >= needed).drop("have")
-    regions = shared.join(enough, "set_id").withColumn("leader", F.min("set_id").over(by_pivot)).withColumn("m", F.count("*").over(by_pivot)).where("m > 1").select("leader", "set_id", "rep", "n_shingles").distinct()
-    weights = (regions := stashed(regions)).groupBy("leader").agg(F.ceil(F.sum("n_shingles") / F.lit(region_shingles)).cast("int").alias("blocks"))
+    needed = F.greatest(F.lit(1), F.floor((n - F.floor((n * percent + 99) / 100)) / 2))
+    regions = led.join(sets.select("set_id", "rep", "n_shingles"), "set_id").where((F.col("all") >= needed) & (F.col("n") * F.col("leaders") >= needed)).select("leader", "set_id", "rep", "n_shingles")
+    weights = (regions := stashed(regions)).groupBy("leader").agg(F.ceil(F.sum("n_shingles") / F.lit(region_shingles)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
     regions = regions.join(weights, "leader").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     regions = regions.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     regions = regions.select("leader", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "set_id", "rep")
