@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, decontaminate, ngram_jaccard
+from llm import bpe, decontaminate, ngram_jaccard, repeats
 from llm.shared import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,7 @@ _PLAIN: dict[str, Query] = {
     "op2_ngram_jaccard_join": ngram_jaccard.query,
     "op4_decontamination": decontaminate.query,
     "op8_bpe": bpe.query,
+    "op9_suffix_array_dedup": repeats.query,
 }
 
 QUERIES: dict[str, Query] = {name: _shipping(query) for name, query in _PLAIN.items()}
