@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from llm import vectext as vt
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 DIGIT = 8
 #: Stretches of one anchor that one task sorts.
 PART = 20_000
