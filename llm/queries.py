@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, decontaminate, ngram_jaccard, repeats
+from llm import bpe, decontaminate, ngram_jaccard, quality_rules, repeats
 from llm.shared import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def _shipping(query: Query) -> Query:
 
 
 _PLAIN: dict[str, Query] = {
+    "op1_quality_rules": quality_rules.query,
     "op2_ngram_jaccard_join": ngram_jaccard.query,
     "op4_decontamination": decontaminate.query,
     "op8_bpe": bpe.query,
@@ -29,4 +30,6 @@ _PLAIN: dict[str, Query] = {
 
 QUERIES: dict[str, Query] = {name: _shipping(query) for name, query in _PLAIN.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.SQL,
+}
