@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, decontaminate, ngram_jaccard, quality_rules, repeats
+from llm import bpe, decontaminate, ngram_jaccard, quality_classifier, quality_rules, repeats, secrets
 from llm.shared import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,7 +23,9 @@ def _shipping(query: Query) -> Query:
 _PLAIN: dict[str, Query] = {
     "op1_quality_rules": quality_rules.query,
     "op2_ngram_jaccard_join": ngram_jaccard.query,
+    "op3_secret_scans": secrets.query,
     "op4_decontamination": decontaminate.query,
+    "op7_quality_classifier": quality_classifier.query,
     "op8_bpe": bpe.query,
     "op9_suffix_array_dedup": repeats.query,
 }
