@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm import bpe, decontaminate, ngram_jaccard, quality_classifier, quality_rules, repeats, secrets
+from llm import bpe, decontaminate, language_id, license_scan, ngram_jaccard, quality_classifier, quality_rules, repeats, secrets, token_counts
 from llm.shared import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,12 @@ _PLAIN: dict[str, Query] = {
     "op2_ngram_jaccard_join": ngram_jaccard.query,
     "op3_secret_scans": secrets.query,
     "op4_decontamination": decontaminate.query,
+    "op5_token_counts": token_counts.query,
+    "op6_language_id": language_id.query,
     "op7_quality_classifier": quality_classifier.query,
     "op8_bpe": bpe.query,
     "op9_suffix_array_dedup": repeats.query,
+    "op10_license_scans": license_scan.query,
 }
 
 QUERIES: dict[str, Query] = {name: _shipping(query) for name, query in _PLAIN.items()}
