@@ -29,16 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm import vectext as vt
+from llm.shared import stashed
 
 LENGTH = 100
-GRAM = 24
+GRAM = 32
 DIGIT = 8
 #: Stretches of one anchor that one task sorts.
-PART = 20_000
+PART = 60_000
 #: Windows that go through the passes together.
 TOGETHER = 1 << 19
 _U = np.uint64
@@ -306,6 +307,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     dealt = lone.mapInArrow(lambda it: _anchor_rows(it, length, gram), "gram long, stretch long, id long, packed long")
     dealt = dealt.repartition("gram").sortWithinPartitions("gram", "stretch", "id", "packed")
     settled = dealt.mapInArrow(lambda it: _settled(it, length), "id long, begin long, stop long, gram long")
+    settled = stashed(settled)
     removed = settled.where("stop >= 0").select("id", "begin", "stop")
 
     # anchors with several stretches: their windows, dealt by anchor and sorted
@@ -316,9 +318,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     windows = texts.join(wanted, "id").select("id", "text", "xs").mapInArrow(lambda it: _windows(it, length), "gram long, part long, id long, packed long, bytes binary")
     compared = windows.repartition("gram", "part").sortWithinPartitions("gram", "part", "id", "packed").mapInArrow(lambda it: _compared(it, length), "id long, begin long, stop long, window binary")
     removed = removed.union(compared.where("window is null").select("id", "begin", "stop"))
-    split = compared.where("window is not null")
-    first = split.groupBy("window").agg(F.min(F.struct("id", "begin")).alias("first"))
-    removed = removed.union(split.join(first, "window").where("id <> first.id or begin <> first.begin").select("id", "begin", "stop"))
+    split = compared.where("window is not null").withColumn("first", F.min(F.struct("id", "begin")).over(Window.partitionBy("window")))
+    removed = removed.union(split.where("id <> first.id or begin <> first.begin").select("id", "begin", "stop"))
 
     marks = removed.select("id", F.struct("begin", "stop").alias("run"), F.lit(False).alias("whole"))
     marks = marks.union(firsts.select("id", F.lit(None).cast("struct<begin:long,stop:long>"), F.lit(True)))
