@@ -29,7 +29,10 @@ VOCABULARY = "byte_bpe_50k.json"
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Words up to this many bytes walk the trie together; longer ones are merged exactly at once.
 LONG = 64
-MOST_WORDS = 1_000_000
+#: Words, and pairs, that a worker remembers; beyond that it starts anew.
+MOST_WORDS = 100_000
+#: Bytes of text that are encoded together.
+BATCH = 2 << 20
 _CODECS: dict[str | None, Codec] = {}
 
 
@@ -263,7 +266,7 @@ class Codec:
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
         if len(self.known) > MOST_WORDS:
             self._forget()
-        if len(self.pairs) > 2 * MOST_WORDS:
+        if len(self.pairs) > 4 * MOST_WORDS:
             self.pairs.clear()
         keys = every.tolist()
         new = np.fromiter((k not in self.known for k in keys), bool, len(keys))
@@ -301,7 +304,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in vt.pieces(batches, 4 << 20):
+        for batch in vt.pieces(batches, BATCH):
             ids, bounds = codec(vocabulary).encode(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
 
@@ -329,7 +332,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in vt.pieces(batches, 4 << 20):
+        for batch in vt.pieces(batches, BATCH):
             own = codec(vocabulary)
             ids, bounds = own.encode(batch.column(1))
             sha, back = [], []

@@ -8,6 +8,8 @@ so a run of bytes is also a run of code points.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,3 +152,11 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20, text: str = "
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    released()
+
+
+def released() -> None:
+    """Gives memory that nothing uses back to the system, as workers live on for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
