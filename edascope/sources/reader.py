@@ -19,6 +19,9 @@ TEXT_FORMATS = {".csv", ".txt", ".tsv", ".dat"}
 EXCEL_FORMATS = {".xlsx", ".xlsm"}
 COLUMNAR_FORMATS = {".parquet"}
 
+#: Names that Spark has for encodings.
+SPARK_ENCODINGS = {"latin-1": "iso-8859-1", "latin1": "iso-8859-1", "cp1252": "iso-8859-1", "windows-1252": "iso-8859-1"}
+
 # Texts that a CSV file has for a missing value.
 NA_VALUES = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
@@ -105,7 +108,11 @@ class DataLoader:
         sep = options.pop("sep", None) or sniff.separator(data.decode(code, "replace"))
         if not data.strip():
             raise DataLoadError(f"{path} has no columns")
-        raw = self.spark.read.options(**{"header": True, "inferSchema": False, "multiLine": False, "escape": '"', **options}).csv(path, sep=sep, encoding=code)
+        raw = self.spark.read.options(**{"header": True, "inferSchema": False, "multiLine": False, "escape": '"', **options}).csv(path, sep=sep, encoding=SPARK_ENCODINGS.get(code.lower(), code))
+        if code.lower() in ("cp1252", "windows-1252"):  # Spark reads Latin-1; the bytes where they differ are put right here
+            high = bytes(range(0x80, 0xA0))
+            pairs = [(a, b) for a, b in zip(high.decode("latin-1"), high.decode("cp1252", "replace"), strict=True) if b != "\ufffd"]
+            raw = raw.select(*(F.translate(C.quoted(c), "".join(a for a, _ in pairs), "".join(b for _, b in pairs)).alias(c) for c in raw.columns))
         return typed(raw, self.parse_dates, self.optimize_types)
 
     def load_from_buffer(self, buffer: bytes | io.BytesIO, file_extension: str = ".csv", **options: Any) -> DataFrame:
