@@ -68,8 +68,10 @@ def duplicate_rows_df(df: DataFrame, subset: list[str] | None = None) -> DataFra
     given = F.lit(True)
     for k in keys:
         given = given & k.isNotNull()
-    number = F.row_number().over(Window.orderBy(*keys)) - 1
-    named = groups.where(given).withColumn("__duplicate_group__", number.cast("long")).unionByName(groups.where(~given).withColumn("__duplicate_group__", F.lit(None).cast("long")))
+    # a range-partitioned sort, then numbers from the partitions' sizes: no task has all groups
+    ordered = groups.where(given).orderBy(*keys)
+    numbered = df.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), ordered.schema.add("__duplicate_group__", "long"))
+    named = numbered.unionByName(groups.where(~given).withColumn("__duplicate_group__", F.lit(None).cast("long")))
     same = F.lit(True)
     for c, k in zip(names, keys, strict=True):
         same = same & C.quoted(c).eqNullSafe(k)

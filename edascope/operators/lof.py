@@ -8,26 +8,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edascope.functions import columns as C
+from edascope.functions import stats as S
 
 NEIGHBOURS = 20
 LEAST_ROWS = 10
+#: Places in sorted order that one group of rows has.
+CHUNK = 10_000
 
 
-def lof_df(df: DataFrame, column: str, neighbours: int = NEIGHBOURS) -> DataFrame:
+def lof_df(df: DataFrame, column: str, neighbours: int = NEIGHBOURS, chunk: int = CHUNK) -> DataFrame:
     """(value, lof) of each non-null value, k = min(neighbours, n - 1) nearest by distance, then by place in sorted order.
 
     The k nearest of a value stand among the k before and the k after it in
-    sorted order; the three steps join places with places.
+    sorted order. Places come from value counts and ranks; chunks of places,
+    each with the k places on either side, are worked on alone.
     """
-    values = C.normalised(df).select(C.quoted(column).cast("double").alias("v")).where("v is not null")
-    order = Window.orderBy("v")
-    rows = values.select("v", F.row_number().over(order).alias("i"))
-    k = F.least(F.lit(neighbours), F.count("*").over(Window.partitionBy()) - 1)
-    near = Window.orderBy("i").rowsBetween(-neighbours, neighbours)
-    rows = rows.withColumn("k", k).withColumn("around", F.collect_list(F.struct("i", "v")).over(near))
+    values = C.normalised(df).select(C.quoted(column).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    rows = S.ranked(values).select("v", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("i"))
+    total = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    own = F.floor(F.col("i") / chunk)
+    also = F.array_distinct(F.array(own, F.floor((F.col("i") - neighbours) / chunk), F.floor((F.col("i") + neighbours) / chunk)))
+    near = Window.partitionBy("chunk").orderBy("i").rowsBetween(-neighbours, neighbours)
+    rows = rows.withColumn("own", own).withColumn("chunk", F.explode(also)).withColumn("around", F.collect_list(F.struct("i", "v")).over(near)).where("chunk = own").select("i", "v", "around")
     away = F.transform(F.filter("around", lambda x: x["i"] != F.col("i")), lambda x: F.struct(F.abs(x["v"] - F.col("v")).alias("d"), x["i"].alias("j")))
-    rows = rows.withColumn("nearest", F.slice(F.array_sort(away), F.lit(1), F.greatest(F.col("k"), F.lit(0)).cast("int"))).drop("around")
-    rows = rows.withColumn("reach", F.element_at("nearest", -1)["d"])
+    k = F.least(F.lit(neighbours), F.col("total") - 1).cast("int")
+    rows = rows.crossJoin(F.broadcast(total)).withColumn("nearest", F.slice(F.array_sort(away), F.lit(1), F.greatest(k, F.lit(0)))).drop("around", "total")
+    rows = rows.withColumn("reach", F.try_element_at("nearest", F.lit(-1))["d"])
     links = rows.select("i", F.explode("nearest").alias("x")).select("i", F.col("x.j").alias("j"), F.col("x.d").alias("d"))
     dense = links.join(rows.select(F.col("i").alias("j"), "reach"), "j").groupBy("i").agg(F.avg(F.greatest("d", "reach")).alias("mean"))
     dense = dense.select("i", (1.0 / (F.col("mean") + 1e-10)).alias("density"))

@@ -123,6 +123,8 @@ def test_forest_and_lof(spark):
     assert OutlierAnalyzer().analyze(df, include_multivariate=True).multivariate_outliers in range(5, 20)
     top = [r["value"] for r in lof.lof_df(df, "a").orderBy(F.desc("lof")).limit(2).collect()]
     assert set(top) == {40.0, -35.0}
+    key = lambda rows: sorted((r["value"], round(r["lof"], 9)) for r in rows.collect())
+    assert key(lof.lof_df(df, "a")) == key(lof.lof_df(df, "a", chunk=25))
     assert OutlierAnalyzer("lof").analyze(df, ["a"]).total_outliers > 0
     assert OutlierAnalyzer("lof").analyze(df.limit(5), ["a"]).total_outliers == 0
 
