@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one only where the session names none (as in tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,7 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shipped(spark: SparkSession) -> None:
-    """Sends this subpackage to the Python workers, once for each Spark context."""
+    """Sends this subpackage to the Python workers, once for each Spark context, and keeps Arrow batches small.
+
+    Texts may be long: batches are bounded by bytes, where the session has
+    Spark's default of 64 MB, which two buffers and two workers a core multiply.
+    """
+    if spark.conf.get(ARROW_BYTES, "") in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(ARROW_BYTES, "4194304b")
     context = spark.sparkContext
     if getattr(context, "_llm_shipped", False):
         return

@@ -141,7 +141,7 @@ def owners(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], most: int = 2 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes of text, or of one row."""
     for batch in batches:
         if not batch.num_rows:
