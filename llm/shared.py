@@ -29,7 +29,7 @@ def shipped(spark: SparkSession) -> None:
     Texts may be long: batches are bounded by bytes, where the session has
     Spark's default of 64 MB, which two buffers and two workers a core multiply.
     """
-    if spark.conf.get(ARROW_BYTES, "") in ("67108864b", "64MB", "67108864"):
+    if spark.conf.get(ARROW_BYTES) == "67108864b":
         spark.conf.set(ARROW_BYTES, "4194304b")
     context = spark.sparkContext
     if getattr(context, "_llm_shipped", False):
