@@ -35,8 +35,9 @@ from llm.shared import components, stashed
 
 SKETCH_BITS = 18
 FILTER_WORDS = 1 << 16
-#: Shingles of a region that one task joins at most; a larger one is dealt as pairs of blocks.
-REGION_SHINGLES = 3_000_000
+#: A region is dealt as pairs of blocks: of BLOCK_SHINGLES, up to a few blocks; beyond that of REGION_SHINGLES,
+#: as each set goes to as many tasks as its region has blocks.
+BLOCK_SHINGLES, FEW_BLOCKS, REGION_SHINGLES = 40_000, 8, 3_000_000
 _U = np.uint64
 
 
@@ -294,7 +295,7 @@ def _joined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = REGION_SHINGLES) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = REGION_SHINGLES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
     Words are the runs without ASCII space of the text with A-Z lower-cased;
@@ -326,7 +327,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     n = F.expr(f"({percent} * n_shingles + 99) div 100")
     needed = F.greatest(F.lit(1), F.floor((n - F.floor((n * percent + 99) / 100)) / 2))
     regions = led.join(sets.select("set_id", "rep", "n_shingles"), "set_id").where((F.col("all") >= needed) & (F.col("n") * F.col("leaders") >= needed)).select("leader", "set_id", "rep", "n_shingles")
-    weights = (regions := stashed(regions)).groupBy("leader").agg(F.ceil(F.sum("n_shingles") / F.lit(region_shingles)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    weights = (regions := stashed(regions)).groupBy("leader").agg(F.least(F.ceil(F.sum("n_shingles") / block_shingles), FEW_BLOCKS + F.ceil(F.sum("n_shingles") / region_shingles)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
     regions = regions.join(weights, "leader").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     regions = regions.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     regions = regions.select("leader", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "set_id", "rep")

@@ -37,8 +37,8 @@ def result(spark, rows, **kw):
     return sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, **kw).collect() if r.doc_id is not None)
 
 
-@pytest.mark.parametrize("region_shingles", [3_000_000, 2_000])
-def test_against_brute_force(spark, region_shingles):
+@pytest.mark.parametrize("region_shingles, block_shingles", [(3_000_000, 40_000), (2_000, 500)])
+def test_against_brute_force(spark, region_shingles, block_shingles):
     rnd = random.Random(3)
     words = [f"w{i}" for i in range(300)]
     intro = [rnd.choice(words) for _ in range(12)]
@@ -55,7 +55,7 @@ def test_against_brute_force(spark, region_shingles):
         else:
             t = [rnd.choice("ab") for _ in range(rnd.randint(0, 7))]
         rows.append((1000 - i, " ".join(t)))
-    assert result(spark, rows, region_shingles=region_shingles) == brute(rows)
+    assert result(spark, rows, region_shingles=region_shingles, block_shingles=block_shingles) == brute(rows)
 
 
 def test_edges(spark):
