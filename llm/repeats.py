@@ -111,10 +111,19 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
         text, place, h, begin, end = anchors(data, offsets, length, gram)
         stretch = vt.span_hashes(data, begin, end + length)
         base = offsets[text]
-        packed = _pack(place - base, begin - base, end - base)
-        for a in range(0, len(text), 100_000):
-            cut = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(h[cut].view(np.int64)), pa.array(stretch[cut].view(np.int64)), pa.array(ids[text[cut]]), pa.array(packed[cut])], ["gram", "stretch", "id", "packed"])
+        packed, own = _pack(place - base, begin - base, end - base), ids[text]
+        # of equal stretches in one batch only the first is dealt by its gram; the later ones, settled, go anywhere
+        order = np.lexsort((packed, own, stretch, h))
+        h, stretch, own, packed = h[order], stretch[order], own[order], packed[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (stretch[1:] != stretch[:-1])
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        repeated_row = ~new & (own == own[first]) & (packed == packed[first])
+        h = np.where(new, h, vt.mixed(own.view(_U) + packed.view(_U)))
+        packed = np.where(new, packed, ~packed)
+        keep = ~repeated_row
+        for column in np.array_split(np.flatnonzero(keep), max(1, len(h) // 100_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(h[column].view(np.int64)), pa.array(stretch[column].view(np.int64)), pa.array(own[column]), pa.array(packed[column])], ["gram", "stretch", "id", "packed"])
 
 
 def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -131,6 +140,10 @@ def _settled(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
     for batch in batches:
         g, s, i, p = (np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns)
+        done = p < 0
+        if done.any():
+            yield rows((i[done], ~p[done]), (i[:0], i[:0], i[:0]))
+            g, s, i, p = g[~done], s[~done], i[~done], p[~done]
         if not len(g):
             continue
         new = np.ones(len(g), bool)
