@@ -211,3 +211,9 @@ def document_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return page_languages(spark.read.parquet(f"{sf_dir}/pages.parquet"), model).withColumn("posterior", F.round("posterior", 6))
+
+
+def documents_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over documents: source as host, lang as the declared language."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return document_languages(docs, train(docs)).withColumn("posterior", F.round("posterior", 6))

@@ -27,6 +27,7 @@ _PLAIN: dict[str, Query] = {
     "op4_decontamination": decontaminate.query,
     "op5_token_counts": token_counts.query,
     "op6_language_id": language_id.query,
+    "op6_language_id_documents": language_id.documents_query,
     "op7_quality_classifier": quality_classifier.query,
     "op8_bpe": bpe.query,
     "op9_suffix_array_dedup": repeats.query,
