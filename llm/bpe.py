@@ -32,7 +32,7 @@ LONG = 64
 #: Words, and pairs, that a worker remembers; beyond that it starts anew.
 MOST_WORDS = 100_000
 #: Bytes of text that are encoded together.
-BATCH = 2 << 20
+BATCH = 1 << 20
 _CODECS: dict[str | None, Codec] = {}
 
 

@@ -196,23 +196,52 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     With no items nothing is hit. Items go to the workers in blocks of at most
     block_chars characters, one scan of docs for each block.
     """
-    spark = docs.sparkSession
+    names = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")]
+    return _contaminated(docs.select(*names), items, text_col, item_id, item_text, window, block_chars, None)
+
+
+def _contaminated(rows: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, window: int, block_chars: int, coverage: float | None) -> DataFrame:
+    """contamination(), or, for a coverage, decontaminated(), in one pass over rows for each block of items."""
+    spark = rows.sparkSession
     items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_chars))
-    names = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")]
-    rows = docs.select(*names)
     for b in range(blocks):
         table = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).toArrow()
         if b:
             rows = stashed(rows)
-        rows = _scanned(rows, spark.sparkContext.broadcast((table["id"].to_pylist(), table["text"].to_pylist())), text_col, window, b > 0)
+        rows = _scanned(rows, spark.sparkContext.broadcast((table["id"].to_pylist(), table["text"].to_pylist())), text_col, window, b > 0, coverage if b == blocks - 1 else None)
     return rows
 
 
-def _scanned(rows: DataFrame, block, text_col: str, window: int, more: bool) -> DataFrame:
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    if not more:
+def _cut(columns: dict[str, pa.Array], text_col: str, spans: list[list[tuple[int, int]]], n_words: np.ndarray, coverage: float) -> pa.RecordBatch:
+    """Rows without their spans, and without rows of which spans cover more than the coverage."""
+    hit = np.array([sum(e - s for s, e in x) for x in spans], np.int64)
+    if hit.any():
+        texts = columns[text_col].to_pylist()
+        counts = columns["n_chars"].to_pylist() if "n_chars" in columns else None
+        for i in np.flatnonzero(hit).tolist():
+            raw = np.frombuffer(texts[i].encode(), np.uint8)
+            starts, ends, _ = vt.words(vt.lowered(raw), np.array([0, len(raw)]), vt.ALNUM)
+            keep, last = [], 0
+            for s, e in spans[i]:
+                keep.append(raw[last : starts[s]].tobytes())
+                last = ends[e - 1]
+            texts[i] = b"".join([*keep, raw[last:].tobytes()]).decode()
+            if counts:
+                counts[i] = len(texts[i])
+        columns[text_col] = pa.array(texts, columns[text_col].type)
+        if counts:
+            columns["n_chars"] = pa.array(counts, columns["n_chars"].type)
+    out = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    return out.filter(pa.array(hit <= coverage * np.maximum(n_words, 1)))
+
+
+def _scanned(rows: DataFrame, block, text_col: str, window: int, more: bool, coverage: float | None) -> DataFrame:
+    added = ("n_words", "hit_spans", "hit_items")
+    fields = [f for f in rows.schema.fields if coverage is None or not more or f.name not in added]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    if not more and coverage is None:
         schema += f", n_words bigint, hit_spans {SPANS}, hit_items array<string>"
     at = rows.columns.index(text_col)
     key = uuid.uuid4().hex
@@ -233,6 +262,9 @@ def _scanned(rows: DataFrame, block, text_col: str, window: int, more: bool) ->
                 base = int(first[t])
                 spans[t] = _merged([*spans[t], *((a - base, b - base) for a, b in s)])
                 found[t] = sorted({*found[t], *f})
+            if coverage is not None:
+                yield _cut({c: v for c, v in columns.items() if not more or c not in added}, text_col, spans, np.diff(first), coverage)
+                continue
             columns["n_words"] = pa.array(np.diff(first), pa.int64())
             columns["hit_spans"] = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             columns["hit_items"] = pa.array(found, pa.list_(pa.string()))
@@ -241,46 +273,17 @@ def _scanned(rows: DataFrame, block, text_col: str, window: int, more: bool) ->
     return rows.mapInArrow(run, schema)
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", span_words: int = WINDOW, coverage: float = 0.5, **options) -> DataFrame:
-    """docs without the hit spans of span_words words or more (shorter ones go where a shorter item occurs as a whole),
-    and without the documents of which spans cover more than `coverage` of the words.
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = 0.5, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without their hit spans, each as long as a window at least, and without the documents of which spans cover more than `coverage` of the words.
 
     The columns are those of docs; n_chars, where docs has it, follows the
     text. Rows that lose nothing stay as they are, null texts too.
     """
-    names = docs.columns
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # no name of docs can clash with an added one
-    rows = contamination(plain, items, text_col=f"c{names.index(text_col)}", **options)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    hit = F.aggregate("hit_spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
-    rows = rows.where(hit <= coverage * F.greatest("n_words", F.lit(1)))
-    at = names.index(text_col)
-    marked = rows.select(*plain.columns, "hit_spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in vt.pieces(batches, text=f"c{at}"):
-            hits = batch.column(len(names))
-            sizes = hits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            columns = [batch.column(i) for i in range(len(names))]
-            if sizes.any():
-                texts = columns[at].to_pylist()
-                counts = columns[names.index("n_chars")].to_pylist() if "n_chars" in names else None
-                for i in np.flatnonzero(sizes).tolist():
-                    raw = np.frombuffer(texts[i].encode(), np.uint8)
-                    starts, ends, _ = vt.words(vt.lowered(raw), np.array([0, len(raw)]), vt.ALNUM)
-                    keep, last = [], 0
-                    for s in hits[i].as_py():
-                        keep.append(raw[last : starts[s["start"]]].tobytes())
-                        last = ends[s["end"] - 1]
-                    texts[i] = b"".join([*keep, raw[last:].tobytes()]).decode()
-                    if counts:
-                        counts[i] = len(texts[i])
-                columns[at] = pa.array(texts, columns[at].type)
-                if counts:
-                    columns[names.index("n_chars")] = pa.array(counts, columns[names.index("n_chars")].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return marked.mapInArrow(run, schema)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # no name of docs can clash with an added one; n_chars keeps its own
+    names = ["n_chars" if c == "n_chars" else n for c, n in zip(docs.columns, names, strict=True)]
+    plain = docs.toDF(*names)
+    out = _contaminated(plain, items, names[docs.columns.index(text_col)], item_id, item_text, window, block_chars, coverage)
+    return out.toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,8 @@ def test_cleaned(spark):
     docs = spark.createDataFrame([(1, f"Ünter {ten}! {rest}", 5, "s"), (2, ten, 5, "s"), (3, rest, 7, "s"), (4, None, None, "s")], "doc_id long, text string, n_chars long, hit_spans string")
     items = spark.createDataFrame([(1, ten)], "item_id long, text string")
     got = {r.doc_id: (r.text, r.n_chars, r.hit_spans) for r in decontaminated(docs, items).collect()}
+    again = {r.doc_id: (r.text, r.n_chars, r.hit_spans) for r in decontaminated(docs, items.union(spark.createDataFrame([(2, "x y z " * 20)], items.schema)), block_chars=60).collect()}
+    assert again == got
     assert got == {1: (f"Ünter ! {rest}", len(f"Ünter ! {rest}"), "s"), 3: (rest, 7, "s"), 4: (None, None, "s")}
 
 
