@@ -24,7 +24,10 @@ def lof_df(df: DataFrame, column: str, neighbours: int = NEIGHBOURS, chunk: int
     each with the k places on either side, are worked on alone.
     """
     values = C.normalised(df).select(C.quoted(column).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    rows = S.ranked(values).select("v", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("n") - 1)).alias("i"))
+    last = F.col("before") + F.col("n") - 1
+    # a value's places in steps of a chunk first, so that a frequent value makes no long array
+    steps = S.ranked(values).select("v", last.alias("last"), F.explode(F.sequence(F.col("before"), last, F.lit(chunk).cast("long"))).alias("i"))
+    rows = steps.select("v", F.explode(F.sequence("i", F.least(F.col("i") + chunk - 1, F.col("last")))).alias("i"))
     total = values.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     own = F.floor(F.col("i") / chunk)
     also = F.array_distinct(F.array(own, F.floor((F.col("i") - neighbours) / chunk), F.floor((F.col("i") + neighbours) / chunk)))

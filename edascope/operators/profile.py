@@ -188,6 +188,27 @@ def memory_df(df: DataFrame) -> DataFrame:
     return C.unfolded(totals, [{"column_name": F.lit(c), "bytes": F.col(f"b{i}").cast("long")} for i, c in enumerate(names)])
 
 
+def _falls(df: DataFrame, order_by: str, numbers: list[str], buckets: int = 1024) -> DataFrame:
+    """(column_name, falls): how often a number is less than the one before it in the order of a key.
+
+    Keys that are numbers or times fall into buckets of equal width, each with
+    a window of its own; bucket ends are compared in a window over the
+    buckets. Keys of other types have but one bucket.
+    """
+    key = C.quoted(order_by)
+    kind = dict(df.dtypes)[order_by]
+    place = key.cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else key.cast("double") if order_by in numbers else F.lit(0.0)
+    rows = df.select(key.alias("key"), place.alias("place"), *(C.quoted(c).cast("double").alias(f"v{i}") for i, c in enumerate(numbers)))
+    bounds = rows.agg(F.min("place").alias("lo"), F.max("place").alias("hi"))
+    share = F.coalesce(F.try_divide(F.col("place") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
+    rows = rows.crossJoin(F.broadcast(bounds)).withColumn("bucket", F.least(F.floor(share * buckets), F.lit(buckets - 1)))
+    over, ends = Window.partitionBy("bucket").orderBy("key"), Window.orderBy("bucket")
+    inner = rows.select("bucket", "key", *(F.col(f"v{i}") for i in range(len(numbers))), *((F.col(f"v{i}") < F.lag(f"v{i}").over(over)).cast("int").alias(f"f{i}") for i in range(len(numbers))))
+    edges = inner.groupBy("bucket").agg(*(F.sum(f"f{i}").alias(f"f{i}") for i in range(len(numbers))), *(F.min_by(f"v{i}", "key").alias(f"a{i}") for i in range(len(numbers))), *(F.max_by(f"v{i}", "key").alias(f"z{i}") for i in range(len(numbers))))
+    total = edges.select(*((F.coalesce(F.col(f"f{i}"), F.lit(0)) + F.coalesce((F.col(f"a{i}") < F.lag(f"z{i}").over(ends)).cast("int"), F.lit(0))).alias(f"f{i}") for i in range(len(numbers)))).agg(*(F.sum(f"f{i}").alias(f"f{i}") for i in range(len(numbers))))
+    return C.unfolded(total, [{"column_name": F.lit(c), "falls": F.col(f"f{i}")} for i, c in enumerate(numbers)])
+
+
 def structural_flags_df(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """(column_name, is_empty, is_constant, is_mostly_missing, is_index_like). An index-like number has no two equal values and, where order_by names the row order, never falls along it."""
     clean = C.normalised(df)
@@ -197,10 +218,7 @@ def structural_flags_df(df: DataFrame, order_by: str | None = None) -> DataFrame
     out = C.unfolded(totals, rows).join(F.broadcast(distinct_counts_df(clean, names)), "column_name")
     falls = F.lit(0)
     if order_by and numbers:
-        # pairs of neighbours in row order; a window without partitions, so only where a caller asks for it
-        over = Window.orderBy(C.quoted(order_by))
-        drops = clean.select(*(F.when(C.quoted(c) < F.lag(C.quoted(c)).over(over), 1).otherwise(0).alias(f"f{i}") for i, c in enumerate(numbers)))
-        sums = C.unfolded(drops.agg(*(F.sum(f"f{i}").alias(f"f{i}") for i in range(len(numbers)))), [{"column_name": F.lit(c), "falls": F.col(f"f{i}")} for i, c in enumerate(numbers)])
+        sums = _falls(clean, order_by, numbers)
         out = out.join(F.broadcast(sums), "column_name", "left")
         falls = F.coalesce("falls", F.lit(0))
     return out.select("column_name", (F.col("n") == 0).alias("is_empty"), (F.col("distinct") <= 1).alias("is_constant"), (F.col("rows") - F.col("n") > 0.8 * F.col("rows")).alias("is_mostly_missing"), (F.col("number") & (F.col("rows") > 0) & (F.col("distinct") == F.col("rows")) & (falls == 0)).alias("is_index_like"))

@@ -187,6 +187,13 @@ def test_profile(spark, sample):
     assert "error" in DataProfiler().get_column_stats(sample, "nope") and DataProfiler().get_column_stats(sample, "age")["variance"] > 0
 
 
+def test_index_like(spark):
+    df = spark.createDataFrame([(i, i * 2, 100 - i, float(i) if i != 50 else 3.5, f"k{i:04d}") for i in range(100)], "k int, up int, down int, odd double, name string").repartition(5)
+    for key in ("k", "name"):
+        got = {r["column_name"]: r["is_index_like"] for r in profile.structural_flags_df(df, key).collect()}
+        assert got == {"k": True, "up": True, "down": False, "odd": False, "name": False}
+
+
 def test_normality(spark):
     def z_of(values):
         df = spark.createDataFrame([(float(v),) for v in values], "v double")
