@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edascope.functions import columns as C
 from edascope.functions import stats as S
+from edascope.sources.ship import shipped
 from edascope.types import CorrelationReport
 
 METHODS = ("pearson", "spearman", "kendall")
@@ -51,13 +55,26 @@ def spearman_df(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return _named(df, pairs, sums.select("pair", r.alias("r")))
 
 
+def _apart(boxes: pd.DataFrame, grid: int) -> pd.DataFrame:
+    """Concordant less discordant pairs among boxes that differ in both bucket numbers."""
+    n = np.zeros((grid, grid))
+    np.add.at(n, (boxes["bx"].to_numpy(), boxes["by"].to_numpy()), boxes["n"].to_numpy())
+    # of each box, the rows in boxes to its left: all of them by bucket of y, then those below and above
+    left = np.zeros_like(n)
+    left[1:] = np.cumsum(n, axis=0)[:-1]
+    below = np.zeros_like(n)
+    below[:, 1:] = np.cumsum(left, axis=1)[:, :-1]
+    above = left.sum(axis=1, keepdims=True) - below - left
+    return pd.DataFrame({"pair": [boxes["pair"].iloc[0]], "s": [float((n * (below - above)).sum())]})
+
+
 def kendall_df(df: DataFrame, pairs: list[tuple[str, str]], grid: int = 256) -> DataFrame:
     """Kendall's tau-b, exactly, without pairing all rows.
 
     Rows are counted in cells of equal values first. A grid of value buckets
     then settles most pairs of cells: those in buckets apart on both axes are
     counted from the grid's sums alone; only cells that share a row or column
-    of the grid are compared one with another.
+    of the grid are compared one with another, about 2 / grid of all pairs.
     """
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIRS)
@@ -70,11 +87,10 @@ def kendall_df(df: DataFrame, pairs: list[tuple[str, str]], grid: int = 256) ->
         total = values.groupBy("pair").agg(F.sum("n").alias("total"))
         bucket = F.floor(F.col("before") * grid / F.col("total")).alias(f"b{side}")
         cells = cells.join(r.join(F.broadcast(total), "pair").select("pair", F.col("v").alias(side), bucket), ["pair", side])
-    # buckets against buckets: at most grid^2 of a pair
+    # buckets against buckets, from sums over a pair's grid: at most grid^2 numbers
+    shipped(df.sparkSession)
     boxes = cells.groupBy("pair", "bx", "by").agg(F.sum("n").alias("n"))
-    p, q = boxes.alias("p"), F.broadcast(boxes).alias("q")
-    apart = p.join(q, (F.col("p.pair") == F.col("q.pair")) & (F.col("p.bx") < F.col("q.bx")) & (F.col("p.by") != F.col("q.by")))
-    coarse = apart.groupBy(F.col("p.pair").alias("pair")).agg(F.sum(F.col("p.n") * F.col("q.n") * F.signum(F.col("q.by") - F.col("p.by"))).alias("s"))
+    coarse = boxes.groupBy("pair").applyInPandas(partial(_apart, grid=grid), "pair int, s double")
     # cells in one column of the grid; and cells in one row but not one column
     parts = [coarse]
     for same, also in (("bx", F.lit(True)), ("by", F.col("a.bx") != F.col("b.bx"))):
