@@ -39,5 +39,6 @@ QUERIES: dict[str, Query] = {name: _shipping(query) for name, query in _PLAIN.it
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.SQL,
     "op2_ngram_jaccard_join": ngram_jaccard.SQL,
+    "op3_secret_scans": secrets.SQL,
     "op4_decontamination": decontaminate.SQL,
 }

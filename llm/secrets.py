@@ -148,3 +148,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"], x["stop"])), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed(F.filter("spans", lambda x: x["kind"] < 3)), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def _sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    # RE2 has no look-around: runs that are as long as can be need none
+    patterns = [quoted(ASSIGN), quoted("AKIA[A-Z0-9]{12,}"), quoted("[0-9a-f]{32,}"), quoted("[A-Za-z0-9+/_=-]{20,}")]
+    kinds = " UNION ALL ".join(f"SELECT r, {k} AS kind, regexp_extract_all(t, {p}) AS m, regexp_split_to_array(t, {p}) AS p FROM d WHERE regexp_matches(t, {p})" for k, p in enumerate(patterns))
+    allowed = " OR ".join(f"regexp_matches(v, {quoted(p)})" for p in ALLOWED)
+    signs = f"string_split(v[i : i + {WINDOW - 1}], '')"
+    part = f"list_sum(list_transform(list_distinct({signs}), lambda c: len(list_filter({signs}, lambda y: y = c)) * log2(len(list_filter({signs}, lambda y: y = c)))))"
+    bits = f"list_max(list_transform(range(1, length(v) - {WINDOW - 2}), lambda i: log2({WINDOW}) - {part} / {WINDOW}))"
+    least = f"CASE WHEN regexp_matches(v, '^(?:[0-9a-f]+|[0-9A-F]+)$') THEN {LEAST_BITS['hex']} ELSE {LEAST_BITS['base64']} END"
+    listed = "string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k AS ({kinds}),
+u AS (SELECT r, kind, m[i] AS v, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM k)),
+f AS (
+    SELECT r, kind, s::BIGINT AS s, (s + length(v))::BIGINT AS e, {KINDS!r}[kind + 1] AS name FROM u
+    WHERE CASE kind WHEN 0 THEN length(regexp_extract(v, {patterns[0]}, 2)) >= 8 WHEN 3 THEN regexp_matches(v, '[0-9]') AND NOT ({allowed}) AND {bits} >= {least} ELSE true END
+),
+g AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c, {listed.replace("s, kind)", "s, kind) FILTER (kind < 3)")} AS base, {listed} AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""
+
+
+SQL = _sql()
