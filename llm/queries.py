@@ -41,4 +41,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard_join": ngram_jaccard.SQL,
     "op3_secret_scans": secrets.SQL,
     "op4_decontamination": decontaminate.SQL,
+    "op9_suffix_array_dedup": repeats.SQL,
 }

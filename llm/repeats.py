@@ -345,3 +345,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, doc_id, p, substr(h, 2 * p + 1, {2 * LENGTH}) AS x FROM (SELECT *, unnest(range(0, length(h) // 2)) AS p FROM d)),
+w AS (SELECT r, p, left(x, 2) AS byte, length(x) = {2 * LENGTH} AND row_number() OVER (PARTITION BY x ORDER BY doc_id, p) > 1 AS again FROM b),
+c AS (SELECT r, p, byte, coalesce(max(CASE WHEN again THEN 1 END) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN {LENGTH - 1} PRECEDING AND CURRENT ROW), 0) AS gone FROM w),
+s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY r ORDER BY p), 0) = 0 AS head FROM c),
+g AS (SELECT r, count(*) AS n, sum(gone) AS gone, count(*) FILTER (head) AS spans, string_agg(byte, '' ORDER BY p) FILTER (gone = 0) AS kept FROM s GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN g USING (r)
+"""
