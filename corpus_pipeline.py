@@ -31,6 +31,16 @@ from llm.shared import shipped, stashed
 ORACLE_SQL = None
 
 
+#: Keys that a join may broadcast; more are joined by a shuffle.
+FEW_KEYS = 200_000
+
+
+def _sized(keys: DataFrame) -> DataFrame:
+    """The keys, computed once and marked for broadcasting if they are few, so that no text is shuffled for them."""
+    keys = stashed(keys)
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the language can be told: fused posterior of one half or more."""
     shipped(spark)
@@ -39,7 +49,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
     rows = docs.withColumn("__row", key)
     verdicts = document_languages(rows.select(F.col("__row").alias("doc_id"), "text", "lang", "source"), model)
-    gone = verdicts.where("not accepted").select(F.col("doc_id").alias("__row")).distinct()
+    gone = _sized(verdicts.where("not accepted").select(F.col("doc_id").alias("__row")).distinct())
     return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
@@ -47,10 +57,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document, that of least id, of each group linked by a Jaccard similarity of 0.8 or more over 5-word shingles."""
     shipped(spark)
     found = jaccard_components(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = _sized(found.where("doc_id <> component_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     # repeated rows of one id: the first by text
-    again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = _sized(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
     several = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
     return single.unionByName(several.dropDuplicates(["doc_id"]))
