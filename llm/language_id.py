@@ -31,6 +31,8 @@ MOST_TEXTS = 8_000
 TEMPER, MOST_TRIGRAMS = 1 / 3, 300
 SMOOTH_HOST, SMOOTH_DOMAIN, SMOOTH_TABLE = 5.0, 20.0, 2.0
 LEAST_POSTERIOR = 0.5
+#: Hosts of which the sums may be broadcast.
+FEW_HOSTS = 100_000
 NONE = "und"
 
 # The language that a country's address suffix suggests.
@@ -170,10 +172,11 @@ def identified(rows: DataFrame, model: LanguageModel, least: float = LEAST_POSTE
                 out = F.when(F.col(column) == value, F.lit(float(np.log((s[k] + SMOOTH_TABLE / (len(langs) + 1)) / (whole[k] + SMOOTH_TABLE))))).otherwise(out)
         return out
 
-    hosts = rows.where("host is not null").groupBy("host").agg(F.sum(F.when(F.col("letters") > 0, 1.0).otherwise(0.0)).alias("hn"), F.first("domain").alias("domain"), *sums("h"))
+    hosts = rows.where("host is not null").groupBy("host", "domain").agg(F.sum(F.when(F.col("letters") > 0, 1.0).otherwise(0.0)).alias("hn"), *sums("h"))
     domains = hosts.groupBy("domain").agg(F.sum("hn").alias("dn"), *(F.sum(f"h{k}").alias(f"d{k}") for k in range(len(langs))))
-    hosts = hosts.join(domains, "domain").drop("domain")
-    rows = rows.join(hosts, "host", "left")
+    hosts = stashed(hosts.join(domains, "domain").drop("domain"))
+    # few hosts are broadcast, so that a frequent one has no task of its own; many are joined by a shuffle
+    rows = rows.join(F.broadcast(hosts) if hosts.count() <= FEW_HOSTS else hosts, "host", "left")
     own = F.when(F.col("letters") > 0, 1.0).otherwise(0.0)
     scores = []
     for k in range(len(langs)):
