@@ -33,14 +33,20 @@ SEMANTIC_TYPES: list[tuple[str, list[str], list[str]]] = [
 ]
 
 
+def _may_parse(v: Column) -> Column:
+    """A cheap test that every date passes and most other texts fail, as parsing is dear."""
+    return F.length(v).between(8, 60) & v.rlike(r"[0-9]{2}")
+
+
 def parses(v: Column) -> Column:
-    """Whether a text is a date in one of the known formats."""
-    return F.coalesce(*(F.try_to_timestamp(F.trim(v), F.lit(f)) for f in DATE_FORMATS)).isNotNull()
+    """Whether a text is a date in one of the known formats; null for null."""
+    found = F.coalesce(*(F.try_to_timestamp(F.trim(v), F.lit(f)) for f in DATE_FORMATS)).isNotNull()
+    return F.when(v.isNotNull(), F.when(_may_parse(v), found).otherwise(False))
 
 
 def best_format(v: Column) -> list[Column]:
     """How many texts parse in each format, as aggregates in the order of DATE_FORMATS."""
-    return [F.count_if(F.try_to_timestamp(F.trim(v), F.lit(f)).isNotNull()) for f in DATE_FORMATS]
+    return [F.count_if(F.when(_may_parse(v), F.try_to_timestamp(F.trim(v), F.lit(f)).isNotNull()).otherwise(False)) for f in DATE_FORMATS]
 
 
 def pattern_hits(df: DataFrame, column: str, patterns: list[str], sample: int | None = None) -> DataFrame:
