@@ -46,11 +46,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shipped(spark)
     model = train(docs)
     # ids as strings, so that rows without an id have a verdict of their own as well
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    rows = docs.withColumn("__row", key)
-    verdicts = document_languages(rows.select(F.col("__row").alias("doc_id"), "text", "lang", "source"), model)
-    gone = _sized(verdicts.where("not accepted").select(F.col("doc_id").alias("__row")).distinct())
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    key = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))))
+    verdicts = document_languages(docs.select(key.alias("doc_id"), "text", "lang", "source"), model)
+    gone = _sized(verdicts.where("not accepted").select(F.col("doc_id").alias("key")).distinct()).alias("gone")
+    return docs.join(gone, key == F.col("gone.key"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def test_run_against_brute_force(spark):
 def test_stages_keep_columns_and_odd_rows(spark):
     prose = "the and of that this with from which have were " * 8
     rows = [(1, prose + "one", "en", "s", 5, "x"), (2, prose + "one", "en", None, None, "x"), (3, None, "en", "s", 5, None), (4, "", None, None, 5, None), (None, prose + "two zz", None, None, 5, "x"), (7, prose + "three yy qq ww password = hunter2hunter2", "en", "s", 5, "x"), (7, prose + "three yy qq ww password = hunter2hunter2", "en", "s", 5, "x")]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string"
     docs = spark.createDataFrame(rows, schema)
     for name, stage in pipeline.STAGES:
         out = stage(spark, docs, SF)
