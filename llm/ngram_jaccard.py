@@ -145,6 +145,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = np.zeros((len(data) // 6, 8), np.uint8)
         pivot[:, :6] = data.reshape(-1, 6)
         yield pa.RecordBatch.from_arrays([pa.array(pivot.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, np.diff(offsets) // 6))], ["pivot", "set_id"])
+    vt.released()
 
 
 def _bit(doc_id: np.ndarray) -> np.ndarray:
@@ -292,7 +293,9 @@ def _joined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
             out.clear()
     close()
+    sets.clear()
     yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+    vt.released()
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = REGION_SHINGLES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
