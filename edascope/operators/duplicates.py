@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +20,8 @@ from edascope.types import DuplicateReport
 #: Rows that the compatible near-duplicate search looks at, and pairs it compares.
 SAMPLE_ROWS, MOST_PAIRS = 5_000, 10_000
 DETAILS, PREVIEW, GROUPS = 100, 100, 20
+#: Buckets of the sketch that orders tokens by how often they stand, and texts of one token that a block holds.
+SKETCH, BLOCK = 1 << 16, 1_000
 
 
 def valid_columns(df: DataFrame, subset: list[str] | None) -> list[str]:
@@ -110,24 +117,111 @@ def fuzzy_pairs_df(df: DataFrame, key: str, columns: list[str] | None = None, th
     return found.where((F.col("similarity") >= threshold) & (F.col("similarity") < 1))
 
 
+def _similarities(a: pd.Series, b: pd.Series, threshold: float) -> pd.DataFrame:
+    """ratio(a, b) and ratio(b, a), which may differ; null where the shared characters, in any order, don't reach the threshold."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        forward = SequenceMatcher(None, x, y)
+        out.append((forward.ratio(), SequenceMatcher(None, y, x).ratio()) if forward.quick_ratio() >= threshold else (None, None))
+    return pd.DataFrame(out, columns=["forward", "backward"], dtype="float64")
+
+
+def _tokens(text: str, q: int) -> list[int]:
+    """Grams of q characters, each with its running number in the text, as numbers; equal numbers of two only make a candidate more."""
+    seen: Counter[str] = Counter()
+    out = []
+    for i in range(len(text) - q + 1):
+        gram = text[i : i + q]
+        seen[gram] += 1
+        out.append(q << 32 | zlib.crc32(f"{gram}{seen[gram]}".encode("utf-8", "surrogatepass")))
+    return out
+
+
+def _least_shared(n: int, q: int, threshold: float) -> int:
+    """How many grams of q (1 or 2) characters a text of length n shares at least with any text at the threshold.
+
+    A ratio of t with a text of length m matches M >= t (n + m) / 2 characters,
+    m being at least n t / (2 - t). The matching blocks number at most one more
+    than the n + m - 2 M unmatched characters, and a block of k characters
+    holds k - 1 pairs of neighbours.
+    """
+    both = 2 * n / (2 - threshold)
+    return math.ceil((threshold / 2 * both if q == 1 else (1.5 * threshold - 1) * both - 1 if threshold > 2 / 3 else 0) - 1e-9)
+
+
+def _grams(text: str, threshold: float) -> list[tuple[int, int]]:
+    """(q, least shared) of the grams by which the text finds its partners: pairs, and characters if it or a partner is too short for pairs."""
+    if not 0 < threshold <= 1:
+        return []
+    n = len(text)
+    shortest = math.ceil(n * threshold / (2 - threshold) - 1e-9)
+    found = [(q, _least_shared(n, q, threshold)) for q in (1, 2)]
+    return [x for x in found if (x[1] >= 1 if x[0] == 2 else _least_shared(shortest, 2, threshold) < 1)]
+
+
+def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """(h1, h2), h1 < h2, of all texts of rows (h, text) that may reach the threshold: none that does is missing.
+
+    Prefix filter: where two texts share s of their tokens, the first
+    n - s + 1 of each, in one order of all tokens, have one in common. Rare
+    tokens come first, by a sketch of fixed size; any order gives all pairs.
+    Tokens of many texts are dealt as pairs of blocks of texts.
+    """
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = np.zeros(SKETCH, np.int64)
+        for b in batches:
+            for text in b["text"]:
+                for q, _ in _grams(text, threshold):
+                    np.add.at(count, np.array(_tokens(text, q), np.int64) % SKETCH, 1)
+        at = np.flatnonzero(count)
+        yield pd.DataFrame({"bucket": at, "n": count[at]})
+
+    often = np.zeros(SKETCH, np.int64)
+    for r in rows.select("text").mapInPandas(sketch, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        often[r["bucket"]] = r["n"]
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for h, text in zip(b["h"], b["text"], strict=True):
+                if threshold <= 0:  # all pairs
+                    out.append((h, len(text), 0))
+                for q, shared in _grams(text, threshold):
+                    tokens = sorted(_tokens(text, q), key=lambda t: (often[t % SKETCH], t))
+                    out.extend((h, len(text), t) for t in dict.fromkeys(tokens[: len(tokens) - shared + 1]))
+            yield pd.DataFrame(out, columns=["h", "n", "token"])
+
+    tokens = rows.mapInPandas(prefixes, "h string, n long, token long")
+    parts = tokens.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("parts")).where("parts > 1")
+    dealt = tokens.join(parts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long"))).withColumn("block", F.pmod(F.xxhash64("h"), "parts"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "h", "n")
+    a, b = (dealt.select("token", "low", "high", *(F.col(c).alias(f"{c}{k}") for c in ("block", "h", "n"))) for k in (1, 2))
+    near = a.join(b, ["token", "low", "high"]).where("h1 < h2 and (block1 <> block2 or low = high)")
+    return near.where(2.0 * F.least("n1", "n2") / (F.col("n1") + F.col("n2")) >= threshold).select("h1", "h2").distinct()
+
+
 def fuzzy_blocks_df(df: DataFrame, key: str, columns: list[str] | None = None, threshold: float = 0.85) -> DataFrame:
-    """(index_1, index_2, similarity) over all rows: each row is compared with its neighbours in two sorted orders.
+    """(index_1, index_2, similarity) of all pairs of similar, not equal, rows whose texts have 3 characters or more.
 
-    Sorted neighbourhoods (Hernandez and Stolfo, 1995): texts sorted forward
-    and backward stand next to texts that differ late or early; each order
-    compares a row with the two before it, so that work grows with the rows.
+    similarity is the ratio of the text of the lesser key to that of the
+    greater. Distinct texts are compared once, those alone that pass filters
+    which lose no pair: lengths, shared tokens, shared characters. Rows without
+    a key can't be named and are left out. Work and result grow with the pairs
+    that are alike.
     """
     shipped(df.sparkSession)
-    rows = joined_text(C.normalised(df), columns or C.text(df)).select(C.quoted(key).alias("id"), F.col("__text").alias("text")).where(F.length("text") >= 3)
-    ratio = F.pandas_udf(_similarity, "double")
-    out = None
-    for order in (F.col("text"), F.reverse("text")):
-        block = Window.partitionBy(F.substring(order, 1, 3)).orderBy(order, "id")
-        for back in (1, 2):
-            pair = rows.select("id", "text", F.lag("id", back).over(block).alias("id2"), F.lag("text", back).over(block).alias("text2")).where("id2 is not null and text <> text2")
-            pair = pair.where(2.0 * F.least(F.length("text"), F.length("text2")) / (F.length("text") + F.length("text2")) >= threshold)
-            out = pair if out is None else out.union(pair)
-    found = out.select(F.least("id", "id2").alias("index_1"), F.greatest("id", "id2").alias("index_2"), ratio("text", "text2").alias("similarity"))
+    rows = joined_text(C.normalised(df), columns or C.text(df)).select(C.quoted(key).alias("id"), F.col("__text").alias("text")).where((F.length("text") >= 3) & F.col("id").isNotNull()).withColumn("h", F.md5("text"))
+    texts = rows.select("h", "text").distinct()
+
+    def ratios(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return _similarities(a, b, threshold)
+
+    pairs = _candidates(texts, threshold).join(texts.toDF("h1", "text1"), "h1").join(texts.toDF("h2", "text2"), "h2")
+    pairs = pairs.select("h1", "h2", F.pandas_udf(ratios, "forward double, backward double")("text1", "text2").alias("s")).where(F.greatest("s.forward", "s.backward") >= threshold).select("h1", "h2", "s.forward", "s.backward")
+    ids = rows.select("id", "h")
+    found = pairs.join(ids.toDF("id1", "h1"), "h1").join(ids.toDF("id2", "h2"), "h2")
+    found = found.select(F.least("id1", "id2").alias("index_1"), F.greatest("id1", "id2").alias("index_2"), F.when(F.col("id1") <= F.col("id2"), F.col("forward")).otherwise(F.col("backward")).alias("similarity"))
     return found.where((F.col("similarity") >= threshold) & (F.col("similarity") < 1)).distinct()
 
 

@@ -1,7 +1,9 @@
 """The analyzers on small frames with results worked out by hand."""
 
 import math
+import random
 from datetime import datetime, timedelta
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -100,6 +102,26 @@ def test_fuzzy(spark):
     assert pairs == {(1, 2), (2, 4)}
 
 
+def test_fuzzy_blocks_misses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK", 7, raising=False)
+    rnd = random.Random(4)
+    # differences at both ends, groups of similar texts, short and long ones, repeated rows
+    texts = ["xhe quick brown foy", "the quick brown fox"] + [f"the quick brown fox {k}{k}" for k in "abcdefgh"]
+    for _ in range(60):
+        t = "".join(rnd.choice("abcde ") for _ in range(rnd.choice([3, 4, 5, 6, 8, 12, 20, 60, 230])))
+        texts += [t] + ["".join(c for c in t if rnd.random() > 0.08) + rnd.choice(["", "z", "é1"]) for _ in range(3)]
+    texts += texts[:5]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    for threshold in (0.85, 0.6, 0.97):
+        want = {}
+        for i, a in enumerate(texts):
+            for j in range(i + 1, len(texts)):
+                if min(len(a), len(texts[j])) >= 3 and a != texts[j] and (s := SequenceMatcher(None, a, texts[j]).ratio()) >= threshold:
+                    want[i, j] = s
+        assert (0, 1) in want or threshold > 0.9
+        assert {(r[0], r[1]): r[2] for r in duplicates.fuzzy_blocks_df(df, "k", ["t"], threshold).collect()} == want
+
+
 def test_outliers(spark):
     values = [float(x) for x in range(1, 101)] + [1000.0, -900.0]
     df = spark.createDataFrame([(i, v, 5.0) for i, v in enumerate(values)], "i int, v double, c double")
