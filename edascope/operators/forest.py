@@ -16,6 +16,8 @@ from edascope.sources.ship import shipped
 
 TREES, SAMPLE = 100, 256
 LEAST_ROWS = 10
+#: Equal rows that one step of a draw numbers.
+STEP = 10_000
 
 
 def average_path(n: float) -> float:
@@ -65,12 +67,24 @@ class Forest:
         return 2.0 ** (-total / len(self.trees) / max(average_path(self.size), 1e-9))
 
 
+def drawn(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """At most `most` of the rows, each as likely as any other: those of least hash of the values and a running number among equal rows."""
+    xs = [C.quoted(c) for c in rows.columns]
+    counts = rows.groupBy(*xs).agg(F.count("*").alias("__n"))
+    # frequent values in steps, which are dealt out: neither a long array nor one task for all
+    steps = F.explode(F.sequence(F.lit(1).cast("long"), "__n", F.lit(STEP).cast("long"))).alias("__i")
+    first = counts.where(F.col("__n") <= STEP).withColumn("__i", F.lit(1).cast("long"))
+    every = first.union(counts.where(F.col("__n") > STEP).select(*xs, "__n", steps).repartition(*xs, "__i"))
+    every = every.select(*xs, F.explode(F.sequence("__i", F.least(F.col("__i") + STEP - 1, "__n"))).alias("__i"))
+    return every.orderBy(F.xxhash64(F.lit(seed), *xs, "__i"), *xs, "__i").limit(most).select(*xs)
+
+
 def scored(df: DataFrame, names: list[str], seed: int = 42, trees: int = TREES) -> DataFrame:
-    """df's rows without nulls in names, with a score; the forest grows from at most trees x SAMPLE rows, drawn by a hash."""
+    """df's rows without nulls in names, with a score; the forest grows from at most trees x SAMPLE rows, drawn in proportion to each value's rows."""
     shipped(df.sparkSession)
     rows = df.select(*(C.quoted(c).cast("double").alias(f"x{i}") for i, c in enumerate(names))).dropna()
     xs = [f"x{i}" for i in range(len(names))]
-    sample = rows.orderBy(F.xxhash64(F.lit(seed), *xs), *xs).limit(trees * SAMPLE).toPandas().to_numpy(dtype=float)
+    sample = drawn(rows, trees * SAMPLE, seed).toPandas().to_numpy(dtype=float)
     if len(sample) < LEAST_ROWS:
         return rows.withColumn("score", F.lit(0.0)).limit(0)
     grown = Forest(sample, seed, trees)
@@ -112,7 +126,7 @@ def multivariate_df(df: DataFrame, contamination: float = 0.05, seed: int = 42,
     """flagged() over all of df's columns, standardised; most_rows draws so many rows by a hash, as a bounded sample."""
     rows = C.normalised(df)
     if most_rows:
-        rows = rows.dropna().orderBy(F.xxhash64(F.lit(seed), *map(C.quoted, rows.columns)), *map(C.quoted, rows.columns)).limit(most_rows)
+        rows = drawn(rows.dropna(), most_rows, seed)
     rows = standardised(rows)
     return flagged(rows, rows.columns, contamination, seed)
 

@@ -151,6 +151,15 @@ def test_forest_and_lof(spark):
     assert OutlierAnalyzer("lof").analyze(df.limit(5), ["a"]).total_outliers == 0
 
 
+def test_forest_draws_each_value_by_its_rows(spark):
+    # each frequent value alone would fill a sample of 25,600 rows drawn by value
+    df = spark.range(90_300).select(F.when(F.col("id") >= 90_000, 90.0).otherwise(F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b"))
+    hits = forest.flagged(df, ["a"]).groupBy("x0", "is_outlier").count().collect()
+    assert {tuple(r) for r in hits} == {(0.0, False, 30_000), (1.0, False, 30_000), (2.0, False, 30_000), (90.0, True, 300)}
+    n = {r["x0"]: r["count"] for r in forest.multivariate_df(df.select("b", F.lit(1).alias("c")), most_rows=2_000).groupBy("x0").count().collect()}
+    assert len(n) == 2 and min(n.values()) > 900
+
+
 def kendall(x, y):
     s = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(len(x)) for j in range(i))
     n0 = len(x) * (len(x) - 1) / 2
