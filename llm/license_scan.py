@@ -20,10 +20,11 @@ from llm import vectext as vt
 
 # Known sentences, after normalisation, as (identifier, pattern); {0} and so on stand for captured parts.
 _LEAD = r"(?:this (?:work|file|program|software|document|project|code|library|text|material) is )?(?:distributed|licensed|released|available|made available|provided)(?: to you)? under (?:the )?(?:terms of )?(?:the )?"
+_FREE = r"this (?:program|library) is free software[:;]? you can redistribute it and/?(?:or)? modify it under the terms of the gnu {}general public license as published by the free software foundation[,;]? either version ([1-3](?:\.[01])?) of the license,? or (?:\(?at your option\)? )?any later version"
 SENTENCES: list[tuple[str, str]] = [
     ("Apache-{0}", _LEAD + r"apache(?: software)? license,? ?(?:version |v)?([0-9]\.[0-9])(?: the license)?"),
     ("Apache-2.0-may-not-use", r"you may not use this file except in compliance with the license"),
-    ("Apache-2.0-obtain", r"you may obtain a copy of the license at(?: https?://www\.apache\.org/licenses/license-2\.0)?"),
+    ("Apache-2.0-obtain", r"you may obtain a copy of the license at(?: https?://www\.apache\.org/licenses/license-2\.0(?:\.txt|\.html)?)?"),
     ("Apache-2.0-as-is", r"unless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an as is basis,? without warranties or conditions of any kind,? either express or implied"),
     ("Apache-2.0-see", r"see the license for the specific language governing permissions and limitations under the license"),
     ("MIT", _LEAD + r"mit(?:/x11)? license(?: mit)?"),
@@ -35,9 +36,12 @@ SENTENCES: list[tuple[str, str]] = [
     ("GPL-{0}+", _LEAD + r"gnu general public license,? ?(?:version |v)?([1-3](?:\.0)?),? or (?:at your option )?any later version"),
     ("LGPL-{0}", _LEAD + r"gnu (?:lesser|library) general public license,? ?(?:version |v)?([2-3](?:\.[01])?)"),
     ("AGPL-{0}", _LEAD + r"gnu affero general public license,? ?(?:version |v)?([1-3](?:\.0)?)"),
-    ("GPL-free-software", r"this program is free software:?;? you can redistribute it and/?(?:or)? modify it under the terms of the gnu general public license as published by the free software foundation,? either version ([1-3]) of the license,? or (?:\(?at your option\)? )?any later version"),
-    ("GPL-hope", r"this program is distributed in the hope that it will be useful,? but without any warranty.*"),
-    ("GPL-received", r"you should have received a copy of the gnu general public license along with this program.*"),
+    ("GPL-free-software", _FREE.format("")),
+    ("LGPL-free-software", _FREE.format("(?:lesser|library) ")),
+    ("AGPL-free-software", _FREE.format("affero ")),
+    ("GPL-hope", r"this (?:program|library) is distributed in the hope that it will be useful,? but without any warranty.*"),
+    ("GPL-see", r"see the gnu (?:lesser |library |affero )?general public license for more details"),
+    ("GPL-received", r"you should have received a copy of the gnu (?:lesser |library |affero )?general public license along with this (?:program|library).*"),
     ("MPL-{0}", _LEAD + r"mozilla public license,? ?(?:version |v)?([12]\.[01])"),
     ("BSD-{0}-Clause", _LEAD + r"(?:bsd )?([0-4])[- ]clause (?:bsd )?license"),
     ("BSD-any", _LEAD + r"bsd license"),
@@ -61,8 +65,7 @@ RULES: list[tuple[str, list[str]]] = [
     ("BSD-2-Clause", ["BSD-redistribution", "BSD-source", "BSD-binary", "BSD-as-is"]),
     ("MIT", ["MIT-grant", "MIT-notice", "as-is-MIT", "no-liability-MIT"]),
     ("MIT", ["MIT-grant", "MIT-notice", "as-is-MIT"]),
-    ("GPL-{0}+", ["GPL-free-software", "GPL-hope", "GPL-received"]),
-    ("GPL-{0}+", ["GPL-free-software"]),
+    *((f"{kind}GPL-{{0}}+", [f"{kind}GPL-free-software", *rest]) for rest in (["GPL-hope", "GPL-see", "GPL-received"], ["GPL-hope", "GPL-received"], []) for kind in ("", "L", "A")),
     ("ISC", ["ISC-grant"]),
     ("proprietary", ["all-rights-reserved"]),
 ]
@@ -76,6 +79,8 @@ _COMPILED = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 _COMMENT = re.compile(r"(?m)^[ \t]*(?:[#*/;%]+|--|<!--)[ \t]*")
 _SPLIT = re.compile(r"(?<=[.!?])(?=[\s\"')\]]+|$)|\n\s*\n")
 _MARKS = re.compile(r"^[\s#*/;%>-]+|[\"'“”‘’`()]|[.!?\s]+$")
+#: An address on a line of its own belongs to the sentence before.
+_AT = re.compile(r"(?i)(copy of the licen[cs]e at:?)\s+(?=https?://)")
 _BLANK = re.compile(r"\s+")
 
 
@@ -102,18 +107,25 @@ def sentence_id(sentence: str) -> tuple[str, tuple[str, ...]] | None:
     return None
 
 
+def known(piece: str, cuts: str = ";\n") -> list[tuple[str, tuple[str, ...]]]:
+    """Known sentences in a piece of text: the whole, or else its parts between semicolons, or else their lines, which may have no stop."""
+    if one := sentence_id(piece):
+        return [one]
+    for k, cut in enumerate(cuts):
+        if cut in piece:
+            return [x for part in piece.split(cut) for x in known(part, cuts[k + 1 :])]
+    return []
+
+
 def scan(text: str) -> tuple[list[str], list[str], int]:
     """Licenses in order of their place, identifiers of all known sentences, and sentences that hint at a license but are unknown."""
     found: list[tuple[str, tuple[str, ...]]] = []
     unknown = 0
-    for piece in _SPLIT.split(_COMMENT.sub("", text)):
+    for piece in _SPLIT.split(_AT.sub(r"\1 ", _COMMENT.sub("", text))):
         if not piece or not _HINT_TEXT.search(piece):
             continue
-        got = [sentence_id(piece)]
-        if not got[0] and "\n" in piece:  # no stop at the end of a line
-            got = [sentence_id(line) for line in piece.split("\n")]
-        if any(got):
-            found.extend(x for x in got if x)
+        if got := known(piece):
+            found.extend(got)
         elif HINT.search(piece.encode()):
             unknown += 1
     ids = [f[0] for f in found]

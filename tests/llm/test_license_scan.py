@@ -32,6 +32,45 @@ def test_rules():
     assert names("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.") == []
 
 
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GNU = """This {0} is free software{1} you can redistribute it and/or
+modify it under the terms of the GNU {2}General Public License as published
+by the Free Software Foundation{3} either version {4} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful, but WITHOUT ANY
+WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR
+A PARTICULAR PURPOSE.  See the GNU {2}General Public License for more details.
+
+You should have received a copy of the GNU {2}General Public License along
+with this {0}.  If not, see <https://www.gnu.org/licenses/>.
+"""
+
+
+def test_published_headers():
+    five = ["Apache-2.0", "Apache-2.0-may-not-use", "Apache-2.0-obtain", "Apache-2.0-as-is", "Apache-2.0-see"]
+    # one hint besides, the line of copyright, which is no sentence
+    assert scan(APACHE) == (["Apache-2.0"], five, 1)
+    for sign in ("# ", " * ", "// "):
+        assert scan("".join(f"{sign}{x}\n" for x in APACHE.split("\n")))[:2] == (["Apache-2.0"], five)
+        assert scan("".join(f"{sign}{x}\n" for x in APACHE.replace("\n\nLic", "\nLic").split("\n")))[0] == ["Apache-2.0"]
+    for words, want in ((("program", ";", "", ";", "2"), "GPL-2.0+"), (("program", ":", "", ",", "3"), "GPL-3.0+"), (("library", ";", "Lesser ", ";", "2.1"), "LGPL-2.1+"), (("library", ";", "Library ", ";", "2"), "LGPL-2.0+"), (("program", ":", "Affero ", ",", "3"), "AGPL-3.0+")):
+        assert scan(GNU.format(*words))[0] == [want]
+
+
 def test_edges(spark):
     rows = [(1, None, "z"), (2, "", "z"), (3, "x " * 200_000 + "\nReleased under the MIT License.", "z"), (None, "Released under the MIT License.", "z"), (4, "plain", "z"), (4, "plain", "z")]
     got = [(r.doc_id, list(r.licenses)) for r in licenses(spark.createDataFrame(rows, "doc_id long, text string, licenses string")).collect()]
