@@ -267,6 +267,8 @@ def _compared(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
                     yield close()
                     rows, size = [], 0
                 now, group = (g[i], part[i]), group + 1
+            if rows and rows[-1][:4] == (group, ids[i], packed[i], raw[i]):  # a repeated row of the table
+                continue
             rows.append((group, ids[i], packed[i], raw[i], part[i] >= 0))
             size += len(raw[i]) - length + 1
     if rows:

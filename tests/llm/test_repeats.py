@@ -51,6 +51,15 @@ def test_edges(spark):
     assert ours(spark, [], 100) == []
 
 
+@pytest.mark.parametrize("part", [20_000, 1])
+def test_repeated_row_that_is_first(spark, part):
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
+    near = text[:1400] + "!" + text[1400:]
+    rows = [(1, text)] * 5 + [(2, near), (3, text[200:]), (4, "x" + text[700:900])]
+    assert ours(spark, rows, 100, part=part) == brute(rows, 100)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
