@@ -6,7 +6,8 @@ each stage's result as Parquet in the shared folder and rereads it for the
 next, so that a lost executor costs no earlier stage.
 
 Rows are kept by these rules. Null or letterless texts go with the first
-stage, as no language can be told. Of each group of near duplicates the row
+stage, as no language can be told, and so do texts in none of the trained
+languages. Of each group of near duplicates the row
 of least id stays, one row of an id that repeats; a row without an id stays.
 Passages of benchmark items are cut out, and documents that are mostly such
 passages go. Secrets are replaced by a mark. Extra columns pass through all
@@ -42,7 +43,7 @@ def _sized(keys: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the language can be told: fused posterior of one half or more."""
+    """Documents of which the language can be told: fused posterior of one half or more, and a text in a trained language."""
     shipped(spark)
     model = train(docs)
     # ids as strings, so that rows without an id have a verdict of their own as well

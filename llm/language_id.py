@@ -7,11 +7,14 @@ Text likelihoods come from hashed character trigrams, tempered, since
 neighbouring trigrams aren't independent. The prior of a host is smoothed by
 that of its domain, and that by the whole corpus; all three, and the tables
 of declared languages and suffixes, are sums of text posteriors by group. A
-page's own posterior is taken out of its host's and its domain's sums.
+page's own posterior is taken out of its host's and its domain's sums. Whether
+a text is in any trained language at all is asked of the text alone: the best
+language competes with a background of equally likely trigrams.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +34,8 @@ MOST_TEXTS = 8_000
 TEMPER, MOST_TRIGRAMS = 1 / 3, 300
 SMOOTH_HOST, SMOOTH_DOMAIN, SMOOTH_TABLE = 5.0, 20.0, 2.0
 LEAST_POSTERIOR = 0.5
+#: Log probability of a trigram in a text of no trained language, where all buckets are alike, and the prior of such a text.
+BACKGROUND, UNKNOWN = -BITS * math.log(2), 0.01
 #: Hosts of which the sums may be broadcast.
 FEW_HOSTS = 100_000
 NONE = "und"
@@ -137,7 +142,9 @@ def identified(rows: DataFrame, model: LanguageModel, least: float = LEAST_POSTE
     part of the host name gives the suffix; host is any name, and its domain
     is its last two labels. Each may be null, unknown or odd, and says nothing
     then. language is `und` with posterior 0, and the row isn't accepted, where
-    a text has no letters. accepted: the posterior reaches `least`. Of equally
+    a text has no letters. The posterior is that among the trained languages.
+    accepted: it reaches `least`, and the text is not more likely of an unknown
+    language or junk than of the trained one that suits it best. Of equally
     likely languages the first by name wins. Repeated rows each get the result.
     """
     langs = model.languages
@@ -185,11 +192,13 @@ def identified(rows: DataFrame, model: LanguageModel, least: float = LEAST_POSTE
         domain = (F.greatest(F.coalesce(f"d{k}", p) - p, F.lit(0.0)) + SMOOTH_DOMAIN * prior[k]) / (n_domain + SMOOTH_DOMAIN)
         host = (F.greatest(F.coalesce(f"h{k}", p) - p, F.lit(0.0)) + SMOOTH_HOST * domain) / (n_host + SMOOTH_HOST)
         scores.append(F.log(host) + F.get("likelihoods", F.lit(k)) + logs(declared_table, "declared", k) + logs(suffix_table, "suffix", k))
-    rows = rows.select("id", "letters", "p", _softmax(F.array(*scores)).alias("q"))
+    rows = rows.select("id", "letters", "likelihoods", "p", _softmax(F.array(*scores)).alias("q"))
     best = lambda c: F.get(known, (F.array_position(c, F.array_max(c)) - 1).cast("int"))
     some = F.col("letters") > 0
     top = F.array_max("q")
-    return rows.select("id", F.when(some, best("q")).otherwise(NONE).alias("language"), F.when(some, top).otherwise(0.0).alias("posterior"), F.when(some, best("p")).otherwise(NONE).alias("text_language"), (some & (top >= least)).alias("accepted"))
+    unknown = F.least("letters", F.lit(MOST_TRIGRAMS)) * (TEMPER * BACKGROUND) + math.log(UNKNOWN / (1 - UNKNOWN))
+    trained = F.array_max("likelihoods") >= unknown
+    return rows.select("id", F.when(some, best("q")).otherwise(NONE).alias("language"), F.when(some, top).otherwise(0.0).alias("posterior"), F.when(some, best("p")).otherwise(NONE).alias("text_language"), (some & (top >= least) & trained).alias("accepted"))
 
 
 def host_of(url: Column) -> Column:

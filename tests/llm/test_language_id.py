@@ -32,6 +32,20 @@ def test_evidence_tips_the_scales(spark):
     assert got[100].language == "fr" and got[100].posterior > 0.9 and got[101].posterior < got[100].posterior
 
 
+def test_foreign_and_junk_texts_are_not_accepted(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+        "xkcd bvrtq zzpln wrtgh kjhgf qwrtp mnbvx ztrwq plkjh gfdsx cvbnm",
+        "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience",
+    ]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.accepted for r in document_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), train(docs)).collect()}
+    assert got == {0: False, 1: False, 2: False, 3: False, 4: True}
+
+
 def test_edges(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = train(docs)
