@@ -54,8 +54,8 @@ SENTENCES: list[tuple[str, str]] = [
     ("CC0-1.0", _LEAD + r"(?:cc0|creative commons zero)(?: 1\.0)?(?: universal)?(?: license)?"),
     ("Unlicense", r"this is free and unencumbered software released into the public domain"),
     ("ISC-grant", r"permission to use,? copy,? modify,? and/?(?:or)? distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("public-domain", r".{0,60}(?:released into|dedicated to|in) the public domain"),
-    ("all-rights-reserved", r"(?:.{0,80} )?all rights reserved"),
+    ("public-domain", r".*(?:released into|dedicated to|in) the public domain"),
+    ("all-rights-reserved", r"(?:.* )?all rights reserved"),
     ("SPDX:{0}", r"spdx-license-identifier: ?([a-z0-9.+-]+(?: (?:and|or|with) [a-z0-9.+-]+)*)"),
 ]
 #: License by sequence of identifiers, in order of trial.
@@ -72,8 +72,8 @@ RULES: list[tuple[str, list[str]]] = [
 #: Identifiers that are a license on their own.
 ALONE = re.compile(r"^(?:Apache-\d\.\d|MIT|L?A?GPL-[\d.]+\+?|MPL-[\d.]+|BSD-\d-Clause|BSD-any|CC-BY[-A-Za-z0-9.]*|CC0-1\.0|Unlicense|public-domain|SPDX:.*)$")
 #: A text without any of these has no known sentence.
-HINT = re.compile(rb"(?i)licen[cs]e|copyright|permission|redistribut|rights reserved|public domain|free software|as is")
-_HINT_TEXT = re.compile(r"(?i)licen[cs]e|copyright|permission|redistribut|rights reserved|public domain|free software|as is|provided|event")
+HINT = re.compile(rb"(?i)licen[cs]e|copyright|permission|redistribut|rights reserved|public domain|free software|as is|without any warranty")
+_HINT_TEXT = re.compile(r"(?i)licen[cs]e|copyright|permission|redistribut|rights reserved|public domain|free software|as is|provided|event|warranty")
 
 _COMPILED = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 _COMMENT = re.compile(r"(?m)^[ \t]*(?:[#*/;%]+|--|<!--)[ \t]*")

@@ -71,6 +71,12 @@ def test_published_headers():
         assert scan(GNU.format(*words))[0] == [want]
 
 
+def test_hints_and_long_notices():
+    assert scan(GPL)[:2] == (["GPL-3.0+"], ["GPL-free-software", "GPL-hope", "GPL-received"])
+    assert scan("word " * 30 + "All rights reserved.")[0] == ["proprietary"]
+    assert scan("word " * 30 + "is released into the public domain.")[0] == ["public-domain"]
+
+
 def test_edges(spark):
     rows = [(1, None, "z"), (2, "", "z"), (3, "x " * 200_000 + "\nReleased under the MIT License.", "z"), (None, "Released under the MIT License.", "z"), (4, "plain", "z"), (4, "plain", "z")]
     got = [(r.doc_id, list(r.licenses)) for r in licenses(spark.createDataFrame(rows, "doc_id long, text string, licenses string")).collect()]
