@@ -52,6 +52,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def distinct(data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, equal for equal bytes only, and the first word of each number.
+
+    Hashes part the words; equal ones are then compared byte by byte, and
+    words go by their bytes should a hash ever stand for two.
+    """
+    codes, every = pd.factorize(vt.span_hashes(data, starts, ends))
+    first = np.full(len(every), -1, np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    if not vt.same_spans(data, starts, ends, first[codes]).all():
+        words = np.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object)
+        codes, every = pd.factorize(words)
+        first = np.full(len(every), -1, np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return codes, first
+
+
 class Codec:
     """Encodes and decodes columns of texts with one vocabulary."""
 
@@ -101,8 +118,7 @@ class Codec:
             self.accepts[nodes[t]] = i
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.store: list[np.ndarray] = []
+        self.known: dict[bytes, np.ndarray] = {}
 
     # -- words ------------------------------------------------------------
     def word_starts(self, data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -223,20 +239,17 @@ class Codec:
         ok[owner[~good[codes]]] = False
         return ok
 
-    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
-        new: list[np.ndarray | None] = [None] * len(starts)
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The ids of each word."""
+        out: list[np.ndarray | None] = [None] * len(starts)
         short = np.flatnonzero(ends - starts <= LONG)
         if len(short):
             tokens, bounds = self.guesses(data, starts[short], ends[short])
             ok = self.verified(tokens, bounds)
             tokens = tokens.astype(np.int32)
             for k in np.flatnonzero(ok).tolist():
-                new[short[k]] = tokens[bounds[k] : bounds[k + 1]]
-        for k, x in enumerate(new):
-            if x is None:
-                x = np.array(self.exact(data[starts[k] : ends[k]].tobytes()), np.int32)
-            self.known[int(hashes[k])] = len(self.store)
-            self.store.append(x)
+                out[short[k]] = tokens[bounds[k] : bounds[k + 1]].copy()
+        return [np.array(self.exact(data[starts[k] : ends[k]].tobytes()), np.int32) if x is None else x for k, x in enumerate(out)]
 
     # -- columns ----------------------------------------------------------
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -260,19 +273,20 @@ class Codec:
                 inside[np.searchsorted(starts, p + 1) : np.searchsorted(starts, e)] = True
             starts = starts[~inside]
         ends = np.append(starts[1:], len(data))
-        h = vt.span_hashes(data, starts, ends)
-        codes, every = pd.factorize(h)
-        first = np.full(len(every), -1, np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        raw = data.tobytes()
+        codes, first = distinct(data, raw, starts, ends)
         if len(self.known) > MOST_WORDS:
             self._forget()
         if len(self.pairs) > 4 * MOST_WORDS:
             self.pairs.clear()
-        keys = every.tolist()
-        new = np.fromiter((k not in self.known for k in keys), bool, len(keys))
-        if new.any():
-            self._learn(data, starts[first[new]], ends[first[new]], every[new])
-        parts = [self.store[self.known[k]] for k in keys]
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        parts = [self.known.get(k) for k in keys]
+        new = np.array([i for i, x in enumerate(parts) if x is None], np.int64)
+        if len(new):
+            for i, x in zip(new.tolist(), self._learn(data, starts[first[new]], ends[first[new]]), strict=True):
+                parts[i] = x
+                if len(keys[i]) <= LONG:
+                    self.known[keys[i]] = x
         for p, (_, i) in marks.items():
             w = int(np.searchsorted(starts, p))
             parts[codes[w]] = np.array([i], np.int32)

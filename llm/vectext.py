@@ -10,15 +10,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_STEP = 1 << 16
-_POWERS: dict[int, np.ndarray] = {}
+_U = np.uint64
+#: Spans over so many bytes are hashed one by one.
+LONG_SPAN = 1024
+#: The lowest 0 to 8 bytes of a number.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def byte_class(excluded: str) -> np.ndarray:
@@ -76,18 +78,6 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    have = _POWERS.get(int(base))
-    if have is None or len(have) < n:
-        size = max(n, _STEP)
-        have = np.full(size, base, dtype=np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if size <= 1 << 24:
-            _POWERS[int(base)] = have
-    return have[:n]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all."""
     h = h ^ (h >> np.uint64(30))
@@ -98,24 +88,48 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, little-endian, the end of the data included; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, equal for equal bytes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    out = np.empty(len(starts), np.uint64)
-    # in blocks of spans, so that the prefix sums stay small
-    block, i = 1 << 20, 0
-    while i < len(starts):
-        low = int(starts[i])
-        j = max(int(np.searchsorted(starts, low + block, "right")), i + 1)
-        high = int(ends[j - 1])
-        part = data[low:high].astype(np.uint64) + np.uint64(1)
-        n = high - low
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(part * _powers(n, _BASE), out=sums[1:])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = mixed((sums[e] - sums[s]) * _powers(n, _INVERSE)[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        i = j
+    """64-bit hashes of the byte spans, equal for equal bytes wherever they stand.
+
+    Eight bytes at a time are mixed into all spans together, each time by a
+    bijection, so that no family of texts is known to share hashes. Spans over
+    LONG_SPAN go through BLAKE2.
+    """
+    size = ends - starts
+    out = mixed(size.astype(_U) * _U(0xD6E8FEB86659FD93) + _U(0x2545F4914F6CDD1D))
+    at = eights(data)
+    live, k = np.flatnonzero(size <= LONG_SPAN), 0
+    while len(live):
+        rest = size[live] - k
+        x = at[starts[live] + k] & _LOW_BYTES[np.minimum(rest, 8)]
+        out[live] = mixed(out[live] ^ x) + _U(0x9E3779B97F4A7C15)
+        live, k = live[rest > 8], k + 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of the span of index other."""
+    size = ends - starts
+    out = size == size[other]
+    at = eights(data)
+    live, k = np.flatnonzero(out & (size <= LONG_SPAN) & (other != np.arange(len(size)))), 0
+    while len(live):
+        rest, two = size[live] - k, other[live]
+        bad = ((at[starts[live] + k] ^ at[starts[two] + k]) & _LOW_BYTES[np.minimum(rest, 8)]) != 0
+        out[live[bad]] = False
+        live, k = live[~bad & (rest > 8)], k + 8
+    for i in np.flatnonzero(out & (size > LONG_SPAN)).tolist():
+        j = other[i]
+        out[i] = bool((data[starts[i] : ends[i]] == data[starts[j] : ends[j]]).all())
     return out
 
 

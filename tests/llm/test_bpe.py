@@ -10,6 +10,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
+from llm import vectext as vt  # noqa: E402
 from llm.bpe import VOCABULARY, codec, decoded, encoded, round_trip  # noqa: E402
 
 THEIRS = tokenizers.Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
@@ -38,6 +39,29 @@ def test_odd_texts():
     assert ours(mixed) == theirs(mixed)
 
 
+def test_equal_hashes_of_different_words(monkeypatch):
+    # Thue and Morse's words have equal polynomial hashes modulo 2^64, whatever the base
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"{other} {word}", word[:1024], other[:1024], "abba baab"]
+    assert ours(texts) == theirs(texts)
+    rnd = random.Random(4)
+    texts += [" ".join(rnd.choice(["the", "teh", "cat", "tac", "x" * 70, "y" * 70, "é"]) for _ in range(60)) for _ in range(20)]
+    hashes = vt.span_hashes
+    for bits in (0, 2, 5):
+        monkeypatch.setattr(vt, "span_hashes", lambda *a, bits=bits: hashes(*a) & np.uint64((1 << bits) - 1))
+        assert ours(texts) == theirs(texts)
+
+
+def test_stored_documents_at_a_larger_size():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    assert ours(texts) == theirs(texts)
+
+
 def test_all_code_points():
     texts = ["".join(chr(c) for c in range(a, a + 256) if not 0xD800 <= c < 0xE000) for a in range(0, 0x30000, 256)]
     bad = [k for k, (a, b) in enumerate(zip(ours(texts), theirs(texts), strict=True)) if a != b]
