@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm import bpe, decontaminate, language_id, license_scan, ngram_jaccard, quality_classifier, quality_rules, repeats, secrets, token_counts
-from llm.shared import shipped
+from llm.shared import shipped, small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def _shipping(query: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         shipped(spark)
+        small_batches(spark)
         return query(spark, sf_dir)
 
     return run

@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Tables that stand in the shared folder now, and their sessions.
+_LIVE: dict[str, SparkSession] = {}
+
+
+def named(column: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where the session names none (as in tests)."""
+    """The folder named in spark.checkpoint.dir, which all machines of the cluster see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir names no folder; intermediate tables need one that all machines share")
     return folder.rstrip("/")
 
 
 def shipped(spark: SparkSession) -> None:
-    """Sends this subpackage to the Python workers, once for each Spark context, and keeps Arrow batches small.
-
-    Texts may be long: batches are bounded by bytes, where the session has
-    Spark's default of 64 MB, which two buffers and two workers a core multiply.
-    """
-    if spark.conf.get(ARROW_BYTES) == "67108864b":
-        spark.conf.set(ARROW_BYTES, "4194304b")
+    """Sends this subpackage to the Python workers, once for each Spark context."""
     context = spark.sparkContext
     if getattr(context, "_llm_shipped", False):
         return
@@ -43,28 +46,59 @@ def shipped(spark: SparkSession) -> None:
     context._llm_shipped = True
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For applications, not called by any operator: Arrow batches of 4 MB, where the session has Spark's default of 64 MB.
+
+    Texts may be long, and two buffers and two workers a core hold a batch each.
+    """
+    if spark.conf.get(ARROW_BYTES) == "67108864b":
+        spark.conf.set(ARROW_BYTES, "4194304b")
+
+
 def stashed(df: DataFrame) -> DataFrame:
     """The same rows, read back from a table written in the shared folder.
 
     This cuts the lineage: a lost executor costs its tasks, never the stages
-    before the table.
+    before the table. The table goes with scratch() or dropped(), or at last
+    when the driver ends, as lazy results may read it until then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
+    if not _LIVE:
+        atexit.register(_cleared)
+    _LIVE[path] = spark
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash = path
     return out
 
 
+def _deleted(path: str) -> None:
+    spark = _LIVE.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _cleared() -> None:
+    for path in list(_LIVE):
+        with contextlib.suppress(Exception):  # the context may have ended before
+            _deleted(path)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the table of a stashed() frame that nothing reads any more."""
-    path = getattr(df, "_stash", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _deleted(getattr(df, "_stash", ""))
+
+
+@contextlib.contextmanager
+def scratch(kept: list[DataFrame]) -> Iterator[None]:
+    """Deletes, at its end, the tables stashed within it, but for those of the frames in kept by then."""
+    before = set(_LIVE)
+    yield
+    spared = {getattr(df, "_stash", None) for df in kept}
+    for path in [x for x in _LIVE if x not in before and x not in spared]:
+        _deleted(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
