@@ -31,10 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm import vectext as vt
-from llm.shared import components, stashed
-
-SKETCH_BITS = 18
-FILTER_WORDS = 1 << 16
+from llm.shared import components, named, stashed
+
+#: Buckets of shingles in the table that orders them: 2^20 at any size of the corpus, 1 MB for each worker.
+SKETCH_BITS, SKETCH_BLOCK = 20, 14
+#: The filter of documents that stand in some region has 12 bits for each of them, and 64 MB at most.
+FILTER_BITS, MOST_FILTER_WORDS = 12, 1 << 23
+#: Pivots of a bucket 2^(24 / 4) times as full as the mean are dealt in parts.
+HOT_LEVEL, HOT_PARTS = 24, 64
 #: A region is dealt as pairs of blocks: of BLOCK_SHINGLES, up to a few blocks; beyond that of REGION_SHINGLES,
 #: as each set goes to as many tasks as its region has blocks.
 BLOCK_SHINGLES, FEW_BLOCKS, REGION_SHINGLES = 40_000, 8, 3_000_000
@@ -85,20 +89,31 @@ def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         starts, ends, first = vt.words(data, offsets, vt.NON_SPACE)
         w, _ = vt.window_hashes(vt.span_hashes(data, starts, ends), first, width)
         total += np.bincount((w >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+    for k, part in enumerate(total.reshape(-1, 1 << SKETCH_BLOCK)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pa.compress(part.tobytes(), "zstd", asbytes=True)], pa.binary())], ["block", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            part = np.frombuffer(pa.decompress(x, 8 << SKETCH_BLOCK, "zstd", asbytes=True), np.int64)
+            total[k] = total[k] + part if k in total else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in total.values()], pa.binary())], ["block", "counts"])
 
 
 def frequency_levels(docs: DataFrame, width: int) -> bytes:
-    """For each of 2**18 buckets of shingles, how frequent they are about (log2).
+    """For each of 2**20 buckets of shingles, how frequent they are about (log2).
 
     It fixes the order of shingles; any order gives the same links, a good one
-    keeps frequent passages out of the windows. Its size never grows.
+    keeps frequent passages out of the windows: those that fill a bucket more
+    by a fifth are told from rare ones. Its size never grows.
     """
-    rows = docs.select("text").mapInArrow(lambda it: _sketch(it, width), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = rows.toArrow()
-    n = np.zeros(1 << SKETCH_BITS, np.int64)
-    n[table["bucket"].to_numpy()] = table["n"].to_numpy()
+    rows = docs.select("text").mapInArrow(lambda it: _sketch(it, width), "block int, counts binary").repartition("block").mapInArrow(_summed, "block int, counts binary")
+    n = np.zeros((1 << SKETCH_BITS - SKETCH_BLOCK, 1 << SKETCH_BLOCK), np.int64)
+    for r in rows.collect():
+        n[r["block"]] = np.frombuffer(pa.decompress(bytes(r["counts"]), 8 << SKETCH_BLOCK, "zstd", asbytes=True), np.int64)
     # relative to the mean, so that the levels tell rare from frequent at any size of the corpus
     return np.clip(np.floor(4 * np.log2((n + 1) / (n.mean() + 1))), 0, 63).astype(np.uint8).tobytes()
 
@@ -133,8 +148,8 @@ def _described(batches: Iterator[pa.RecordBatch], width: int, percent: int, leve
                 k = k[: spare(len(k), percent) + sure(len(k), percent)]
                 out[i] = k.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), _signed(_sums(vt.mixed(w ^ _U(0x5851F42D4C957F2D)), bounds)), _signed(_sums(vt.mixed(w ^ _U(0x14057B7EF767814F)), bounds)), pa.array(out, pa.binary())],
-            ["doc_id", "n_shingles", "set_id", "set_id2", "prefix"],
+            [batch.column(0), *batch.columns[2:], pa.array(n, pa.int64()), _signed(_sums(vt.mixed(w ^ _U(0x5851F42D4C957F2D)), bounds)), _signed(_sums(vt.mixed(w ^ _U(0x14057B7EF767814F)), bounds)), pa.array(out, pa.binary())],
+            ["doc_id", *batch.schema.names[2:], "n_shingles", "set_id", "set_id2", "prefix"],
         )
 
 
@@ -152,22 +167,33 @@ def _bit(doc_id: np.ndarray) -> np.ndarray:
     return vt.mixed(doc_id.view(_U) + _U(0x632BE59BD9B4E019))
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bits(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        h = _bit(np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)))
-        table = np.zeros(FILTER_WORDS, _U)
-        np.bitwise_or.at(table, ((h >> _U(6)) % _U(FILTER_WORDS)).astype(np.int64), _U(1) << (h & _U(63)))
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), _signed(table[at])], ["word", "bits"])
+        h = np.unique(_bit(np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))) % _U(64 * words))
+        word, head = np.unique(h >> _U(6), return_index=True)
+        bits = np.bitwise_or.reduceat(_U(1) << (h & _U(63)), head) if len(h) else h
+        yield pa.RecordBatch.from_arrays([_signed(word), _signed(bits)], ["word", "bits"])
+
+
+def _filter(reps: DataFrame) -> np.ndarray:
+    """A table of bits that holds every rep, and few others as long as it may grow."""
+    words = 1 << 10
+    n = reps.count()
+    while words < MOST_FILTER_WORDS and 64 * words < FILTER_BITS * n:
+        words *= 2
+    found = reps.mapInArrow(lambda it: _bits(it, words), "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    table = np.zeros(words, np.int64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return table.view(_U)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, table: bytes) -> Iterator[pa.RecordBatch]:
-    bits = np.frombuffer(table, _U)
+def _sets(batches: Iterator[pa.RecordBatch], width: int, table) -> Iterator[pa.RecordBatch]:
+    bits = table.value
 
     def wanted() -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = _bit(np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)))
-            hit = (bits[((h >> _U(6)) % _U(FILTER_WORDS)).astype(np.int64)] >> (h & _U(63))) & _U(1)
+            h = _bit(np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))) % _U(64 * len(bits))
+            hit = (bits[(h >> _U(6)).astype(np.int64)] >> (h & _U(63))) & _U(1)
             yield batch.filter(pa.array(hit.astype(bool)))
 
     for batch in vt.pieces(wanted()):
@@ -187,16 +213,28 @@ class _Forest:
             x = self.up[x]
         return x
 
-    def tie(self, a: int, b: int) -> None:
+    def tie(self, a: int, b: int) -> bool:
+        """Whether the two were apart before."""
         a, b = self.find(a), self.find(b)
         if a != b:
             self.up[max(a, b)] = min(a, b)
+        return a != b
 
 
 class Region:
-    """The sets of one region and their links, as a forest."""
+    """The sets of one region and their links, as a forest.
+
+    Pivots are drawn farthest first, and each set belongs to the Voronoi region
+    of its nearest one, or, at 1 - r or more from all, to the region of the far
+    ones. Windows take it to each other region that may hold a set within the
+    radius r: to a pivot's, if d(x, q) is at most d(x, p) + 2 r and at most the
+    region's own reach + r; to the far ones', if d(x, p) is 1 - 2 r or more.
+    Regions are parted again as long as that saves comparisons: the squares of
+    the windows' sizes and the distances to pivots add up to less than the
+    square of the region's. So no region ever costs more than all its pairs.
+    """
 
-    LEAF, PIVOTS, COLUMNS = 48, 8, 4096
+    LEAF, PIVOTS, TILE, COLUMNS = 2, 12, 2048, 2048
 
     def __init__(self, sets: list[np.ndarray], percent: int) -> None:
         self.n = np.array([len(s) for s in sets], np.int64)
@@ -205,69 +243,114 @@ class Region:
         _, local, df = np.unique(flat, return_inverse=True, return_counts=True)
         own = np.repeat(np.arange(len(sets)), self.n)
         keep = df[local] > 1  # what only one set has adds nothing to an intersection
-        self.local, self.own = local[keep], own[keep]
-        self.universe, self.bounds = len(df), np.searchsorted(self.own, np.arange(len(sets) + 1))
+        self.local, own = local[keep], own[keep]
+        self.universe, self.bounds = len(df), np.searchsorted(own, np.arange(len(sets) + 1))
         self.forest = _Forest(len(sets))
-
-    def common(self, p: int, members: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of p with each member."""
-        flag = np.zeros(self.universe, np.int64)
-        flag[self.local[self.bounds[p] : self.bounds[p + 1]]] = 1
-        return _sums(flag[self.local], self.bounds)[members]
-
-    def linked(self, common: np.ndarray, n: np.ndarray, m: np.ndarray | int) -> np.ndarray:
-        return 100 * common >= self.percent * (n + m - common)
+        self.by_pivot = self.by_pair = self.offered = 0  # links found by pivots and pair by pair, and pairs offered
 
     def join(self) -> list[tuple[int, int]]:
-        self._join(np.arange(len(self.n)))
+        work = [np.arange(len(self.n))]
+        while work:
+            work.extend(self._parted(work.pop()))
         return [(i, r) for i in range(len(self.n)) if (r := self.forest.find(i)) != i]
 
-    def _join(self, members: np.ndarray) -> None:
+    def _rows(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The shingles of the members, which member each is of, and the bounds of each member's."""
+        size = self.bounds[members + 1] - self.bounds[members]
+        bounds = np.zeros(len(members) + 1, np.int64)
+        np.cumsum(size, out=bounds[1:])
+        at = np.repeat(self.bounds[members] - bounds[:-1], size) + np.arange(bounds[-1])
+        return self.local[at], np.repeat(np.arange(len(members)), size), bounds
+
+    def _linked(self, common: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
+        return 100 * common >= self.percent * (n + m - common)
+
+    def _parted(self, members: np.ndarray) -> list[np.ndarray]:
+        """Links found by this region's pivots, and the windows that are left to join."""
+        roots = {self.forest.find(x) for x in members.tolist()}
+        if len(roots) == 1:
+            return []
+        local, own, bounds = self._rows(members)
         if len(members) <= self.LEAF:
-            return self._every(members)
-        pivots = members[np.linspace(0, len(members) - 1, self.PIVOTS).astype(np.int64)]
-        far = np.empty((len(pivots), len(members)))
-        for k, p in enumerate(pivots):
-            common = self.common(p, members)
-            far[k] = 1 - common / np.maximum(self.n[members] + self.n[p] - common, 1)
-            for x in members[self.linked(common, self.n[members], self.n[p])]:
-                self.forest.tie(int(p), int(x))
-        nearest = far.min(axis=0)
-        window = far <= nearest + 2 * self.radius + 1e-9
-        if window.sum(axis=1).max() > 0.8 * len(members):  # these pivots part nothing here
-            return self._every(members)
-        for k in range(len(pivots)):
-            self._join(members[window[k]])
-
-    def _every(self, members: np.ndarray) -> None:
-        roots = np.array([self.forest.find(int(x)) for x in members])
-        if (roots == roots[0]).all():
-            return
-        if len(members) == 2:
-            a, b = members
-            if self.linked(self.common(a, members[1:])[0], self.n[a], self.n[b]):
-                self.forest.tie(int(a), int(b))
-            return
-        step = 1024
-        spans = [self.local[self.bounds[x] : self.bounds[x + 1]] for x in members]
-        used, flat = np.unique(np.concatenate(spans), return_inverse=True)
-        own = np.repeat(np.arange(len(members)), [len(s) for s in spans])
-        for i in range(0, len(members), step):
-            for j in range(i, len(members), step):
-                left, right = members[i : i + step], members[j : j + step]
-                common = np.zeros((len(left), len(right)), np.float32)
-                in_l, in_r = (own >= i) & (own < i + step), (own >= j) & (own < j + step)
-                for c in range(0, len(used), self.COLUMNS):
-                    parts = []
-                    for inside, base, m in ((in_l, i, left), (in_r, j, right)):
-                        a = np.zeros((len(m), min(self.COLUMNS, len(used) - c)), np.float32)
-                        at = inside & (flat >= c) & (flat < c + self.COLUMNS)
-                        a[own[at] - base, flat[at] - c] = 1
-                        parts.append(a)
-                    common += parts[0] @ parts[1].T
-                for x, y in zip(*np.nonzero(self.linked(common, self.n[left][:, None], self.n[right][None, :])), strict=True):
-                    if left[x] != right[y]:
-                        self.forest.tie(int(left[x]), int(right[y]))
+            return self._every(members, local, own, bounds)
+        n, flag = self.n[members], np.zeros(self.universe, bool)
+        nearest, far, p = np.full(len(members), np.inf), [], 0
+        for _ in range(self.PIVOTS):
+            mine = local[bounds[p] : bounds[p + 1]]
+            flag[mine] = True
+            common = np.bincount(own[flag[local]], minlength=len(members))
+            common[p] = n[p]
+            flag[mine] = False
+            far.append(1 - common / (n + n[p] - common))
+            for x in members[self._linked(common, n, n[p])].tolist():
+                self.by_pivot += self.forest.tie(int(members[p]), x)
+            nearest = np.minimum(nearest, far[-1])
+            p = int(nearest.argmax())
+            if nearest[p] <= 0:
+                return []
+        d = np.stack(far)
+        owner = np.where(nearest >= 1 - self.radius - 1e-9, len(far), d.argmin(axis=0))
+        windows = [nearest >= 1 - 2 * self.radius - 1e-9] if (owner == len(far)).any() else []
+        for k in range(len(far)):
+            mine = owner == k
+            if mine.any():
+                windows.append(mine | (d[k] <= np.minimum(nearest + 2 * self.radius, d[k][mine].max() + self.radius) + 1e-9))
+        size = np.array([w.sum() for w in windows])
+        if (size * size).sum() + d.size >= len(members) ** 2:  # these pivots part nothing here
+            return self._every(members, local, own, bounds)
+        return [members[w] for w in windows if w.sum() > 1]
+
+    def _every(self, members: np.ndarray, local: np.ndarray, own: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Compares all pairs: by the lists of sets that have a shingle, or where these are long by products of matrices."""
+        m = len(members)
+        self.offered += m * (m - 1) // 2
+        _, column, df = np.unique(local, return_inverse=True, return_counts=True)
+        if not len(df):
+            return []
+        tie = lambda x, y: self.forest.tie(int(members[x]), int(members[y]))
+        n = self.n[members]
+        if m * m * len(df) < 200 * int((df * df).sum()):
+            for i in range(0, m, self.TILE):
+                for j in range(i, m, self.TILE):
+                    common = self._product(column, own, bounds, i, j, len(df), m)
+                    rows, columns = common.shape
+                    for x, y in zip(*np.nonzero(100 * common >= self.percent * (n[i : i + rows, None] + n[None, j : j + columns] - common)), strict=True):
+                        if i + x < j + y:
+                            self.by_pair += tie(i + x, j + y)
+            return []
+        order = np.argsort(column, kind="stable")
+        holders = own[order]
+        start = np.zeros(len(df) + 1, np.int64)
+        np.cumsum(df, out=start[1:])
+        for x in range(m - 1):
+            mine = column[bounds[x] : bounds[x + 1]]
+            size = df[mine]
+            total = np.cumsum(size)
+            if len(total):
+                at = np.repeat(start[mine] - total + size, size) + np.arange(total[-1])
+                common = np.bincount(holders[at], minlength=m)[x + 1 :]
+                for y in np.flatnonzero(self._linked(common, n[x + 1 :], n[x])).tolist():
+                    self.by_pair += tie(x, x + 1 + y)
+        return []
+
+    def _product(self, column: np.ndarray, own: np.ndarray, bounds: np.ndarray, i: int, j: int, width: int, m: int) -> np.ndarray:
+        """Sizes of the intersections of the members of one tile with those of another."""
+        parts = []
+        for low in (i, j):
+            high = min(low + self.TILE, m)
+            span = slice(bounds[low], bounds[high])
+            order = np.argsort(column[span], kind="stable")
+            parts.append((column[span][order], own[span][order] - low, high - low))
+        common = np.zeros((parts[0][2], parts[1][2]), np.float32)
+        for c in range(0, width, self.COLUMNS):
+            dense = []
+            for columns, rows, height in parts:
+                a, b = np.searchsorted(columns, [c, c + self.COLUMNS])
+                x = np.zeros((height, min(self.COLUMNS, width - c)), np.float32)
+                x[rows[a:b], columns[a:b] - c] = 1
+                dense.append(x)
+            common += dense[0] @ dense[1].T
+        return common
 
 
 def _joined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -298,8 +381,24 @@ def _joined(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     vt.released()
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = REGION_SHINGLES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
+def leaders(windows: DataFrame) -> DataFrame:
+    """(set_id, leader, n) of windows (pivot, set_id): the pivots, of two sets or more, that each set has in common with each leader, the least set of the pivot's.
+
+    Pivots of full buckets, which the number of a pivot tells, are dealt in
+    parts, led each by its least set first, so that no pivot is one task's.
+    """
+    hot = F.shiftright("pivot", 42) >= HOT_LEVEL
+    by_pivot = Window.partitionBy("pivot")
+    cold = windows.where(~hot).select("set_id", F.min("set_id").over(by_pivot).alias("leader"), F.count("*").over(by_pivot).alias("m"))
+    parted = windows.where(hot).withColumn("part", F.pmod(F.xxhash64("set_id"), F.lit(HOT_PARTS)))
+    parts = parted.groupBy("pivot", "part").agg(F.min("set_id").alias("leader"), F.count("*").alias("m"))
+    heads = parts.groupBy("pivot").agg(F.min("leader").alias("leader"), F.sum("m").alias("m"))
+    led = parted.join(parts.select("pivot", "part").join(heads, "pivot"), ["pivot", "part"]).select("set_id", "leader", "m")
+    return cold.union(led).where("m > 1").groupBy("set_id", "leader").agg(F.count("*").alias("n"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", region_shingles: int = REGION_SHINGLES, block_shingles: int = BLOCK_SHINGLES, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, plus the columns in keep) for every row of docs.
 
     Words are the runs without ASCII space of the text with A-Z lower-cased;
     two documents link when their sets of width-word shingles have a Jaccard
@@ -308,23 +407,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
     Null or blank texts have no shingles and link with nothing. Rows with a
     null id are returned with a null component unless an equal set has an id;
-    they link nothing else. Repeated rows are returned as often as they come.
-    Ties cannot change a component. Other columns of docs are ignored. An
-    empty table gives an empty result.
+    they link nothing else. Rows of one id with different texts each get their
+    own text's component. Repeated rows are returned as often as they come.
+    Ties cannot change a component. Other columns of docs are ignored, whatever
+    their names. An empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    spark = docs.sparkSession
+    kept = [f"k{i}" for i in range(len(keep or []))]
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"), *(named(c).alias(k) for c, k in zip(keep or [], kept, strict=True)))
     levels = frequency_levels(rows, width)
-    columns = "doc_id long, n_shingles long, set_id long, set_id2 long, prefix binary"
-    windowed = rows.mapInArrow(lambda it: _described(it, width, percent, levels), columns)
-    described = stashed(rows.mapInArrow(lambda it: _described(it, width, percent, None), columns).drop("prefix"))
+    extra = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[2:])
+    columns = "n_shingles long, set_id long, set_id2 long, prefix binary"
+    windowed = rows.select("doc_id", "text").mapInArrow(lambda it: _described(it, width, percent, levels), f"doc_id long, {columns}")
+    described = stashed(rows.mapInArrow(lambda it: _described(it, width, percent, None), f"doc_id long, {extra}{columns}").drop("prefix"))
     one_of_each = lambda df, *more: df.where("n_shingles > 0 and doc_id is not null").groupBy("set_id", "set_id2", "n_shingles").agg(F.min("doc_id").alias("rep"), *more)
     sets = one_of_each(described)
 
     # first level: the leaders of each set's pivots, and how many pivots each leads
     windows = one_of_each(windowed, F.first("prefix").alias("prefix")).select("set_id", "prefix").mapInArrow(_windows, "pivot long, set_id long")
-    by_pivot, by_set = Window.partitionBy("pivot"), Window.partitionBy("set_id")
-    led = windows.withColumn("leader", F.min("set_id").over(by_pivot)).withColumn("m", F.count("*").over(by_pivot)).where("m > 1")
-    led = led.groupBy("set_id", "leader").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(by_set)).withColumn("leaders", F.count("*").over(by_set))
+    by_set = Window.partitionBy("set_id")
+    led = leaders(windows).withColumn("all", F.sum("n").over(by_set)).withColumn("leaders", F.count("*").over(by_set))
     # The least partner has ceil(0.8 n) shingles, and so many pivots at least are shared with a document within the
     # radius. They fall to at most `leaders` regions, so that one region both stand in has its part of them from both.
     n = F.expr(f"({percent} * n_shingles + 99) div 100")
@@ -332,24 +434,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     regions = led.join(sets.select("set_id", "rep", "n_shingles"), "set_id").where((F.col("all") >= needed) & (F.col("n") * F.col("leaders") >= needed)).select("leader", "set_id", "rep", "n_shingles")
     weights = (regions := stashed(regions)).groupBy("leader").agg(F.least(F.ceil(F.sum("n_shingles") / block_shingles), FEW_BLOCKS + F.ceil(F.sum("n_shingles") / region_shingles)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
     regions = regions.join(weights, "leader").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+
+    # the sets of the documents that stand in some region; a filter spares the others
+    table = spark.sparkContext.broadcast(_filter(regions.select("rep").distinct()))
+    texts = rows.where("doc_id is not null").select("doc_id", "text").mapInArrow(lambda it: _sets(it, width, table), "rep long, set_id long, shingles binary")
     regions = regions.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     regions = regions.select("leader", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "set_id", "rep")
-
-    # the sets of the documents that stand in some region; a filter of fixed size spares the others
-    table = np.zeros(FILTER_WORDS, np.int64)
-    found = regions.select("rep").distinct().mapInArrow(_bits, "word long, bits long").groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
-    table[found["word"].to_numpy()] = found["bits"].to_numpy()
-    bits = table.tobytes()
-    texts = rows.where("doc_id is not null").mapInArrow(lambda it: _sets(it, width, bits), "rep long, set_id long, shingles binary")
     members = regions.join(texts, ["rep", "set_id"]).select("leader", "low", "high", "set_id", "shingles")
     links = members.repartition("leader", "low", "high").sortWithinPartitions("leader", "low", "high", "set_id").mapInArrow(lambda it: _joined(it, percent), "a long, b long")
 
-    # components of sets, then their least document
+    # components of sets, then their least document; texts without shingles stay out of the join
     of_set = components(links)
-    named = sets.select("set_id", "set_id2", "rep").join(of_set.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("set_id", "set_id2", "component_id")
-    out = described.select("doc_id", "n_shingles", "set_id", "set_id2").join(named, ["set_id", "set_id2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    members = sets.select("set_id", "set_id2", "rep").join(of_set.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    members = members.join(members.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("set_id", "set_id2", "component_id")
+    some, none = described.where("n_shingles > 0"), described.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    out = some.join(members, ["set_id", "set_id2"], "left").select(*none.columns).union(none)
+    return out.select("doc_id", "n_shingles", "component_id", *(F.col(k).alias(c) for c, k in zip(keep or [], kept, strict=True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
