@@ -36,8 +36,8 @@ SMOOTH_HOST, SMOOTH_DOMAIN, SMOOTH_TABLE = 5.0, 20.0, 2.0
 LEAST_POSTERIOR = 0.5
 #: Log probability of a trigram in a text of no trained language, where all buckets are alike, and the prior of such a text.
 BACKGROUND, UNKNOWN = -BITS * math.log(2), 0.01
-#: Hosts of which the sums may be broadcast.
-FEW_HOSTS = 100_000
+#: A key of more than this share of the rows is joined by broadcasting; there are at most 10,000 such keys at any size.
+HOT_SHARE = 1e-4
 NONE = "und"
 
 # The language that a country's address suffix suggests.
@@ -81,7 +81,11 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", most: int = MOST_TEXTS) -> LanguageModel:
-    """Counts trigrams of at most `most` labelled texts, drawn by a hash of their id; null labels and texts are left out."""
+    """Counts trigrams of at most `most` labelled texts, drawn by a hash of their id; null ids, labels and texts are left out.
+
+    All rows of a drawn id count. A table without labelled rows gives a model
+    of one language, `und`.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text is not null")
     drawn = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most)
 
@@ -135,6 +139,24 @@ def _softmax(x: Column) -> Column:
     return F.transform(e, lambda v: v / total)
 
 
+def joined_by_weight(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """rows with the columns of table (one row a key; weight: how many of rows have it), null where the key is or has none.
+
+    Keys of over HOT_SHARE of all weight, of which there cannot be more than
+    its inverse, are broadcast; the others, none of which is frequent, are
+    joined by a shuffle, and rows without a key not at all. So it is at every
+    size, and no task has more of one key than HOT_SHARE of the rows.
+    """
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = F.col(weight) > HOT_SHARE * float(total)
+    names = [c for c in table.columns if c != key]
+    out = rows.join(F.broadcast(table.where(hot).withColumn("hot", F.lit(True))), key, "left")
+    settled = out.where(F.col("hot") | F.col(key).isNull())
+    rest = out.where(F.col("hot").isNull() & F.col(key).isNotNull()).drop("hot", *names).join(table.where(~hot).hint("merge"), key, "left")
+    columns = [*rows.columns, *names]
+    return settled.select(*columns).union(rest.select(*columns))
+
+
 def identified(rows: DataFrame, model: LanguageModel, least: float = LEAST_POSTERIOR) -> DataFrame:
     """(id, language, posterior, text_language, accepted) of every row of evidence().
 
@@ -179,11 +201,10 @@ def identified(rows: DataFrame, model: LanguageModel, least: float = LEAST_POSTE
                 out = F.when(F.col(column) == value, F.lit(float(np.log((s[k] + SMOOTH_TABLE / (len(langs) + 1)) / (whole[k] + SMOOTH_TABLE))))).otherwise(out)
         return out
 
-    hosts = rows.where("host is not null").groupBy("host", "domain").agg(F.sum(F.when(F.col("letters") > 0, 1.0).otherwise(0.0)).alias("hn"), *sums("h"))
-    domains = hosts.groupBy("domain").agg(F.sum("hn").alias("dn"), *(F.sum(f"h{k}").alias(f"d{k}") for k in range(len(langs))))
-    hosts = stashed(hosts.join(domains, "domain").drop("domain"))
-    # few hosts are broadcast, so that a frequent one has no task of its own; many are joined by a shuffle
-    rows = rows.join(F.broadcast(hosts) if hosts.count() <= FEW_HOSTS else hosts, "host", "left")
+    hosts = stashed(rows.where("host is not null").groupBy("host", "domain").agg(F.count("*").alias("host_rows"), F.sum(F.when(F.col("letters") > 0, 1.0).otherwise(0.0)).alias("hn"), *sums("h")))
+    domains = stashed(hosts.groupBy("domain").agg(F.count("*").alias("domain_hosts"), F.sum("hn").alias("dn"), *(F.sum(f"h{k}").alias(f"d{k}") for k in range(len(langs)))))
+    hosts = stashed(joined_by_weight(hosts, domains, "domain", "domain_hosts").drop("domain"))
+    rows = joined_by_weight(rows.drop("domain"), hosts, "host", "host_rows")
     own = F.when(F.col("letters") > 0, 1.0).otherwise(0.0)
     scores = []
     for k in range(len(langs)):
@@ -208,14 +229,25 @@ def host_of(url: Column) -> Column:
 
 
 def page_languages(pages: DataFrame, model: LanguageModel) -> DataFrame:
-    """(page_id, language, posterior, text_language, accepted) of every row of pages (page_id, url, html)."""
+    """(page_id, language, posterior, text_language, accepted) of every row of pages (page_id, url, html).
+
+    A null or empty page, and one of tags alone, has no letters. Null or odd
+    addresses say nothing. Repeated pages count as often as they come, and each
+    gets its result; ids are not looked at. Other columns are ignored, and an
+    empty table gives an empty result.
+    """
     declared = F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z-]+)", 1)
     rows = pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"), declared.alias("declared"), "url", host_of(F.col("url")).alias("host"))
     return identified(evidence(rows, model, html=True), model).withColumnRenamed("id", "page_id")
 
 
 def document_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """(doc_id, language, posterior, text_language, accepted) of every row of docs (doc_id, text, lang, source): source is the host, lang the declared language."""
+    """(doc_id, language, posterior, text_language, accepted) of every row of docs (doc_id, text, lang, source): source is the host, lang the declared language.
+
+    Each may be null. Repeated rows count as often as they come, and each gets
+    its result; ids, of any type, are not looked at. Other columns are ignored,
+    and an empty table gives an empty result.
+    """
     rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("url"), F.col("source").alias("host"))
     return identified(evidence(rows, model), model).withColumnRenamed("id", "doc_id")
 
