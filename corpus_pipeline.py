@@ -5,12 +5,16 @@ in the columns of documents; the last returns them as token ids. run() writes
 each stage's result as Parquet in the shared folder and rereads it for the
 next, so that a lost executor costs no earlier stage.
 
-Rows are kept by these rules. Null or letterless texts go with the first
-stage, as no language can be told, and so do texts in none of the trained
-languages. Of each group of near duplicates the row
-of least id stays, one row of an id that repeats; a row without an id stays.
-Passages of benchmark items are cut out, and documents that are mostly such
-passages go. Secrets are replaced by a mark. Extra columns pass through all
+Rows are judged one by one, by all that a stage looks at, never by their id
+alone: ids may repeat with different texts, or be null. Null or letterless
+texts go with the first stage, as no language can be told, and so do texts in
+none of the trained languages; a rejected row takes no other with it. Of each
+group of near duplicates one row stays: that of least id, rows without an id
+last, of least text digest among equal ids. Of rows that are equal in id,
+text, lang and source one stays, of least digest over its other columns.
+Rows without words stay, as they link with nothing. Passages of benchmark items
+are cut out, and documents that are mostly such passages go. Secrets are
+replaced by a mark. Extra columns, whatever their names, pass through all
 stages but the last. An empty table stays empty.
 """
 
@@ -26,44 +30,54 @@ from llm.decontaminate import decontaminated
 from llm.language_id import document_languages, train
 from llm.ngram_jaccard import jaccard_components
 from llm.secrets import redacted
-from llm.shared import shipped, stashed
+from llm.shared import dropped, named, scratch, shipped, small_batches, stashed
 
 #: SQL cannot express the stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-#: Keys that a join may broadcast; more are joined by a shuffle.
-FEW_KEYS = 200_000
+def _free(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _sized(keys: DataFrame) -> DataFrame:
-    """The keys, computed once and marked for broadcasting if they are few, so that no text is shuffled for them."""
-    keys = stashed(keys)
-    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two 64-bit digests of a row's id, text, lang and source, and their names."""
+    one, two = _free(docs, "key_one"), _free(docs, "key_two")
+    columns = [named(c) for c in ("doc_id", "text", "lang", "source")]
+    nulls = [c.isNull() for c in columns]
+    return docs.withColumn(one, F.xxhash64(F.lit(1), *columns, *nulls)).withColumn(two, F.xxhash64(F.lit(2), *nulls, *reversed(columns))), one, two
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the language can be told: fused posterior of one half or more, and a text in a trained language."""
     shipped(spark)
     model = train(docs)
-    # ids as strings, so that rows without an id have a verdict of their own as well
-    key = F.coalesce(docs["doc_id"].cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))))
-    verdicts = document_languages(docs.select(key.alias("doc_id"), "text", "lang", "source"), model)
-    gone = _sized(verdicts.where("not accepted").select(F.col("doc_id").alias("key")).distinct()).alias("gone")
-    return docs.join(gone, key == F.col("gone.key"), "left_anti")
+    keyed, one, two = _keyed(docs)
+    verdicts = document_languages(keyed.select(F.struct(one, two).alias("doc_id"), "text", "lang", "source"), model)
+    gone_one, gone_two = _free(docs, "gone_one"), _free(docs, "gone_two")
+    gone = verdicts.where("not accepted").select(F.col(f"doc_id.{one}").alias(gone_one), F.col(f"doc_id.{two}").alias(gone_two)).distinct()
+    # joined by a shuffle at every size: keys of rejected rows grow with the corpus
+    return keyed.join(gone.hint("merge"), (F.col(one) == F.col(gone_one)) & (F.col(two) == F.col(gone_two)), "left_anti").select(*(named(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of least id, of each group linked by a Jaccard similarity of 0.8 or more over 5-word shingles."""
     shipped(spark)
-    found = jaccard_components(docs.select("doc_id", "text"))
-    gone = _sized(found.where("doc_id <> component_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # repeated rows of one id: the first by text
-    again = _sized(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    single = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    several = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
-    return single.unionByName(several.dropDuplicates(["doc_id"]))
+    keyed, one, two = _keyed(docs)
+    narrow = keyed.select(F.col(one).alias("a"), F.col(two).alias("b"), F.col("doc_id").cast("long").alias("id"), "text")
+    found = jaccard_components(narrow, id_col="a", keep=["b", "id"]).select(F.col("doc_id").alias("a"), "b", "id", "n_shingles", "component_id")
+    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "a", "b")).alias("x"))
+    kept = first.select("x.a", "x.b").union(found.where("n_shingles = 0").select("a", "b")).distinct()
+    # equal rows become one before they meet, so that no row that repeats is one task's; joined by a shuffle at every size
+    rest = [named(c) for c in docs.columns if c not in ("doc_id", "text", "lang", "source")]
+    rank = F.xxhash64(F.lit(0), *rest)
+    order = F.min_by(F.struct(*(named(c) for c in docs.columns)), rank).alias("row")
+    single = keyed.groupBy(one, two).agg(order)
+    return single.join(kept.hint("merge"), (F.col(one) == F.col("a")) & (F.col(two) == F.col("b")), "left_semi").select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -96,7 +110,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents after all stages."""
     shipped(spark)
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stashed(stage(spark, docs, sf_dir))
+        last, kept = docs, []
+        with scratch(kept):  # what a stage writes on its way goes with it
+            docs = stashed(stage(spark, last, sf_dir))
+            kept.append(docs)
+        dropped(last)
     return docs
