@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -79,6 +80,53 @@ def test_stages_keep_columns_and_odd_rows(spark):
     ids = lambda df: sorted((r.doc_id or 0) for r in df.collect())
     stages = dict(pipeline.STAGES)
     assert ids(stages["language_id"](spark, docs, SF)) == [0, 1, 2, 7, 7]
-    assert ids(stages["ngram_jaccard_join"](spark, docs, SF))[:3] == [0, 1, 3]
+    # 1 and 2 are copies, and so are the rows of 7; rows without words link with nothing
+    assert ids(stages["ngram_jaccard_join"](spark, docs, SF)) == [0, 1, 3, 4, 7]
     texts = [r.text for r in stages["secret_scans"](spark, docs, SF).where("doc_id = 7").collect()]
     assert len(texts) == 2 and all(t.endswith("[SECRET]") for t in texts)
+
+
+PROSE = "the and of that this with from which have were " * 8
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string, KEY_ONE string, row string, a string"
+
+
+def texts_of(stage, spark, rows):
+    docs = spark.createDataFrame([(d, t, "en", "s", 5, f"{d}", "k", "r", "a") for d, t in rows], SCHEMA).repartition(3)
+    out = dict(pipeline.STAGES)[stage](spark, docs, SF)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert all((r["a.b"], r.KEY_ONE, r.row, r.a) == (f"{r.doc_id}", "k", "r", "a") for r in got)
+    return sorted(((r.doc_id, r.text) for r in got), key=str)
+
+
+def test_no_row_goes_for_another_of_its_id(spark):
+    junk = "123 !!"
+    rows = [(7, PROSE), (7, junk), (8, PROSE), (None, PROSE), (None, junk), (None, None), (9, junk), (9, junk), (10, PROSE), (10, PROSE)]
+    want = [(7, PROSE), (8, PROSE), (None, PROSE), (10, PROSE), (10, PROSE)]
+    assert texts_of("language_id", spark, rows) == sorted(want, key=str)
+    assert texts_of("language_id", spark, []) == []
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(3, a), (7, a), (7, b), (7, b), (5, c), (5, c + " z"), (None, d), (None, d), (None, a + " y"), (None, b), (4, ""), (4, None), (4, " "), (6, a + " x")]
+    got = texts_of("ngram_jaccard_join", spark, rows)
+    assert [r for r in got if r[0] != 5] == sorted([(3, a), (7, b), (None, d), (4, ""), (4, None), (4, " ")], key=str)
+    assert [r[1] in (c, c + " z") for r in got if r[0] == 5] == [True]
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 1, 2, 3, 4, 5, 6, 7]), " ".join(rnd.choice([a, b, c, d]).split()[rnd.randrange(3) : 58])) for _ in range(120)]
+    got = texts_of("ngram_jaccard_join", spark, rows)
+    least = {}
+    for i, t in rows:
+        least[t[0]] = min(least.get(t[0], 99), 99 if i is None else i)
+    assert sorted((99 if i is None else i, t[0]) for i, t in got) == sorted((i, x) for x, i in least.items())
+
+
+def test_scratch_leaves_no_tables(spark):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/stash-*"))
+    out = pipeline.run(spark, SF)
+    left = set(glob.glob(f"{folder}/stash-*")) - before
+    assert len(left) == 1 and out.count() > 0
