@@ -48,7 +48,7 @@ def severity(ratio: Column) -> Column:
 
 
 def cardinality(ratio: Column, distinct: Column) -> Column:
-    return F.when(ratio == 1, "unique").when(ratio > 0.9, "very_high").when(ratio > 0.5, "high").when(distinct <= 10, "low").when(distinct <= 100, "medium").otherwise("high")
+    return F.when(ratio == 1, "unique").when(ratio > 0.9, "very-high").when(ratio > 0.5, "high").when(distinct <= 10, "low").when(distinct <= 100, "medium").otherwise("high")
 
 
 def is_lower(v: Column) -> Column:

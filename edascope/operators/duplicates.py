@@ -20,6 +20,8 @@ from edascope.types import DuplicateReport
 #: Rows that the compatible near-duplicate search looks at, and pairs it compares.
 SAMPLE_ROWS, MOST_PAIRS = 5_000, 10_000
 DETAILS, PREVIEW, GROUPS = 100, 100, 20
+#: Ranges of keys that rows are numbered in; as many sizes are broadcast.
+RANGES = 256
 #: Buckets of the sketch that orders tokens by how often they stand, and texts of one token that a block holds.
 SKETCH, BLOCK = 1 << 16, 1_000
 
@@ -62,6 +64,22 @@ def duplicate_groups_df(df: DataFrame, subset: list[str] | None = None, top: int
     return groups.orderBy(F.desc("group_size"), *map(C.quoted, names)).limit(top)
 
 
+def numbered_df(rows: DataFrame, keys: list[str], name: str, ranges: int = RANGES) -> DataFrame:
+    """rows with their place, from 0, in the order of keys, which none share and none lack.
+
+    Bounds drawn by a hash of the keys part the rows into ranges of about equal
+    size; rows are numbered within a range, and ranges from their sizes.
+    """
+    place = F.struct(*keys)
+    drawn = rows.select(place.alias("k"), F.xxhash64(*keys).alias("h")).orderBy("h", "k").limit(ranges - 1)
+    bounds = drawn.agg(F.array_sort(F.collect_list("k")).alias("__bounds"))
+    ranged = rows.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= place))).drop("__bounds")
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    below = sizes.select("__range", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__below"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*keys)).cast("long") - 1
+    return ranged.withColumn("__own", own).join(F.broadcast(below), "__range").withColumn(name, F.col("__own") + F.col("__below")).drop("__range", "__own", "__below")
+
+
 def duplicate_rows_df(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     """The rows of groups of two or more, with __duplicate_group__ from 0 in the order of keys; null where a key is null.
 
@@ -75,9 +93,7 @@ def duplicate_rows_df(df: DataFrame, subset: list[str] | None = None) -> DataFra
     given = F.lit(True)
     for k in keys:
         given = given & k.isNotNull()
-    # a range-partitioned sort, then numbers from the partitions' sizes: no task has all groups
-    ordered = groups.where(given).orderBy(*keys)
-    numbered = df.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), ordered.schema.add("__duplicate_group__", "long"))
+    numbered = numbered_df(groups.where(given), [f"__k{i}" for i in range(len(names))], "__duplicate_group__")
     named = numbered.unionByName(groups.where(~given).withColumn("__duplicate_group__", F.lit(None).cast("long")))
     same = F.lit(True)
     for c, k in zip(names, keys, strict=True):
@@ -250,7 +266,8 @@ class DuplicateAnalyzer:
     def _fuzzy(self, df: DataFrame, report: DuplicateReport, texts: list[str], total: int) -> None:
         if not texts:
             return
-        indexed = df.sparkSession.createDataFrame(df.select(*map(C.quoted, texts)).rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), df.select(*map(C.quoted, texts)).schema.add("__index", "long"))
+        # at most max_comparisons rows come here: places in the order that the frame has
+        indexed = df.select(*map(C.quoted, texts), F.monotonically_increasing_id().alias("__id")).withColumn("__index", F.row_number().over(Window.orderBy("__id")).cast("long") - 1).drop("__id")
         rows = fuzzy_pairs_df(indexed, "__index", texts, self.fuzzy_threshold, self.max_comparisons).orderBy("index_1", "index_2").collect()
         scale = min((total / SAMPLE_ROWS) ** 2, 10) if total > SAMPLE_ROWS else 1
         report.fuzzy_duplicates = int(len(rows) * scale)

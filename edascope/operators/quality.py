@@ -43,23 +43,25 @@ def uniqueness_df(df: DataFrame) -> DataFrame:
     return whole.select(F.when(F.col("n") <= 1, 1.0).otherwise(score).alias("uniqueness"))
 
 
-def _valid(v: Column, number: bool, n: Column, i: int, rules: dict[str, Any]) -> tuple[list[Column], Any]:
+def _valid(v: Column, number: bool, boolean: bool, i: int, rules: dict[str, Any]) -> tuple[list[Column], Any]:
     """Aggregates of one column, and how its valid count follows from them: the least of the rules' counts; negatives cost half where nothing allows them."""
     aggs, parts = [], [f"n{i}"]
     checks: list[Column] = []
-    if "min" in rules:
+    # bounds are for numbers only, and a value of another type than the column's is never equal
+    if "min" in rules and number:
         checks.append(v >= rules["min"])
-    if "max" in rules:
+    if "max" in rules and number:
         checks.append(v <= rules["max"])
     if "allowed" in rules:
-        checks.append(v.isin(list(rules["allowed"])))
+        alike = [x for x in rules["allowed"] if not isinstance(x, str) and x is not None] if number else [str(x) for x in rules["allowed"] if isinstance(x, (str, bool))]
+        checks.append((v if number else F.lower(v.cast("string")) if boolean else v.cast("string")).isin([x.lower() if boolean else x for x in alike]) if alike else F.lit(False))
     if "pattern" in rules:
         checks.append(v.cast("string").rlike(f"^(?:{rules['pattern']})"))
     for j, check in enumerate(checks):
         aggs.append(F.count_if(check).alias(f"r{i}_{j}"))
         parts.append(f"r{i}_{j}")
     least = F.least(*parts) if len(parts) > 1 else F.col(parts[0])
-    if number and rules.get("min", 0) >= 0:
+    if number and (rules.get("min") or 0) >= 0:
         aggs.append(F.count_if(v < 0).alias(f"m{i}"))
         share = F.try_divide(F.col(f"m{i}").cast("double"), F.col(f"n{i}"))
         least = F.when(F.col(f"m{i}") > 0, F.floor(least * (1 - 0.5 * share))).otherwise(least)
@@ -72,7 +74,7 @@ def validity_by_column_df(df: DataFrame, rules: dict[str, dict[str, Any]] | None
     aggs, rows = [F.count("*").alias("rows")], []
     for i, c in enumerate(clean.columns):
         v = C.quoted(c)
-        more, valid = _valid(v, c in numbers, F.col(f"n{i}"), i, (rules or {}).get(c, {}))
+        more, valid = _valid(v, c in numbers, c in C.boolean(df), i, (rules or {}).get(c, {}))
         aggs += [F.count(v).alias(f"n{i}"), *more]
         rows.append({"column_name": F.lit(c), "n": F.col(f"n{i}"), "valid_count": valid.cast("long"), "validity": F.try_divide(valid.cast("double"), F.col(f"n{i}"))})
     return C.unfolded(clean.agg(*aggs), rows).where("n > 0")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,8 @@ SAMPLE = 1000
 DATE_SHARE = 0.8
 
 # Formats of dates in order of trial, and semantic types by key words of names and patterns of values.
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy/MM/dd", "yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy", "MM/dd/yyyy HH:mm:ss", "dd-MM-yyyy", "dd.MM.yyyy", "dd MMM yyyy", "MMM dd, yyyy"]
+# One letter takes one digit or two; brackets hold what may be missing.
+DATE_FORMATS = ["yyyy-M-d[['T'][ ]H:m[:s[.SSSSSS]][ ][XXX]]", "yyyy/M/d[ H:m[:s[.SSSSSS]]]", "M/d/yyyy[ H:m[:s]]", "d/M/yyyy[ H:m[:s]]", "d-M-yyyy[ H:m[:s]]", "d.M.yyyy[ H:m[:s]]", "d MMM yyyy[ H:m[:s]]", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy"]
 SEMANTIC_TYPES: list[tuple[str, list[str], list[str]]] = [
     ("email", ["email", "e-mail", "mail"], [r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"]),
     ("phone", ["phone", "tel", "mobile", "fax"], [r"^\+?[0-9][0-9 .()-]{5,18}[0-9]$", r"^\([0-9]{2,4}\) ?[0-9][0-9 -]{4,}$", r"^[0-9]{7,15}$"]),
@@ -35,7 +37,7 @@ SEMANTIC_TYPES: list[tuple[str, list[str], list[str]]] = [
 
 def _may_parse(v: Column) -> Column:
     """A cheap test that every date passes and most other texts fail, as parsing is dear."""
-    return F.length(v).between(8, 60) & v.rlike(r"[0-9]{2}")
+    return F.length(v).between(8, 60) & v.rlike(r"(?<![0-9])[0-9]{4}(?![0-9])")
 
 
 def parses(v: Column) -> Column:
@@ -49,15 +51,19 @@ def best_format(v: Column) -> list[Column]:
     return [F.count_if(F.when(_may_parse(v), F.try_to_timestamp(F.trim(v), F.lit(f)).isNotNull()).otherwise(False)) for f in DATE_FORMATS]
 
 
+def _fits(v: Column, patterns: list[str]) -> Column:
+    hit = F.lit(False)
+    for p in patterns:
+        hit = hit | v.rlike(p if p.startswith("^") else f"^(?:{p})")
+    return hit
+
+
 def pattern_hits(df: DataFrame, column: str, patterns: list[str], sample: int | None = None) -> DataFrame:
     """(n, hits): non-null values, and those that match one of the patterns from their start."""
     v = C.quoted(column).cast("string")
     rows = df.select(v.alias("v")).where("v is not null")
     rows = rows.limit(sample) if sample else rows
-    hit = F.lit(False)
-    for p in patterns:
-        hit = hit | F.col("v").rlike(p if p.startswith("^") else f"^(?:{p})")
-    return rows.agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(_fits(F.col("v"), patterns)).alias("hits"))
 
 
 def schema_df(df: DataFrame) -> DataFrame:
@@ -127,14 +133,14 @@ class SchemaDetector:
         rows = {r["column_name"]: r for r in schema_df(clean).collect()}
         memory = {r["column_name"]: r["bytes"] for r in memory_df(clean).collect()}
         head = clean.limit(self.sample_size).collect()
+        hits = self._pattern_shares(clean)
         total = next(iter(rows.values()))["row_count"] if rows else df.count()
         out = SchemaProfile(row_count=total, column_count=len(df.columns), memory_usage=sum(memory.values()), memory_usage_human=C.human_bytes(sum(memory.values())), skipped_columns=skipped)
         for c in clean.columns:
             r = rows[c]
 
             def share(patterns: list[str], c: str = c) -> float:
-                got = pattern_hits(clean, c, patterns, self.sample_size).first()
-                return got["hits"] / got["n"] if got["n"] else 0.0
+                return hits.get((c, tuple(patterns)), 0.0)
 
             values = [x[c] for x in head if x[c] is not None][:5]
             out.columns[c] = ColumnInfo(
@@ -146,6 +152,18 @@ class SchemaDetector:
         out.duplicate_ratio = out.duplicate_rows / total if total else 0.0
         return out
 
+    def _pattern_shares(self, clean: DataFrame) -> dict[tuple[str, tuple[str, ...]], float]:
+        """The share of values, of the first ones of each column, that fit the patterns its name calls for: one aggregate for all."""
+        wanted = [(c, patterns) for c in clean.columns for _, words, patterns in SEMANTIC_TYPES if patterns and any(w in C.bare(c).lower() for w in words)]
+        if not wanted:
+            return {}
+        # the first values of a column that aren't null, as many as the sample has, however many rows are null before them
+        names = list(dict.fromkeys(c for c, _ in wanted))
+        parts = [clean.where(C.quoted(c).isNotNull()).select(F.lit(i).alias("i"), C.quoted(c).cast("string").alias("v")).limit(self.sample_size) for i, c in enumerate(names)]
+        values = reduce(DataFrame.union, parts).groupBy("i").agg(F.count("*").alias("n"), *(F.count_if(_fits(F.col("v"), patterns)).alias(f"h{k}") for k, (_, patterns) in enumerate(wanted)))
+        rows = {r["i"]: r for r in values.collect()}
+        return {(c, tuple(patterns)): rows[names.index(c)][f"h{k}"] / rows[names.index(c)]["n"] for k, (c, patterns) in enumerate(wanted) if names.index(c) in rows}
+
     def get_type_distribution(self, profile: SchemaProfile) -> dict[str, int]:
         out: dict[str, int] = {}
         for info in profile.columns.values():

@@ -146,7 +146,7 @@ def _type_sql(table: str, column: str, kind: str) -> str:
     rest = {"number": f"WHEN count(*) FILTER ({column} <> floor({column})) = 0 THEN 'integer' ELSE 'float'", "text": f"WHEN {d} <= 2 OR avg(length({column})) < 50 AND {d} / {n} < 0.5 THEN 'categorical' ELSE 'text'", "time": "ELSE 'datetime'"}[kind]
     ratio = f"({d} / {n}::DOUBLE)"
     return f"""SELECT '{column}' AS column_name, {d} AS unique_count, CASE WHEN {n} = 0 THEN 'empty' WHEN {d} <= 1 THEN 'constant' {rest} END AS inferred_type,
-CASE WHEN {ratio} = 1 THEN 'unique' WHEN {ratio} > 0.9 THEN 'very_high' WHEN {ratio} > 0.5 THEN 'high' WHEN {d} <= 10 THEN 'low' WHEN {d} <= 100 THEN 'medium' ELSE 'high' END AS cardinality FROM {table}"""
+CASE WHEN {ratio} = 1 THEN 'unique' WHEN {ratio} > 0.9 THEN 'very-high' WHEN {ratio} > 0.5 THEN 'high' WHEN {d} <= 10 THEN 'low' WHEN {d} <= 100 THEN 'medium' ELSE 'high' END AS cardinality FROM {table}"""
 
 
 LINEITEM = [("l_orderkey", "number"), ("l_partkey", "number"), ("l_suppkey", "number"), ("l_linenumber", "number"), ("l_quantity", "number"), ("l_extendedprice", "number"), ("l_discount", "number"), ("l_tax", "number"), ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "time")]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Callable
 from functools import reduce
 from pathlib import PurePosixPath
 from typing import Any
@@ -102,19 +103,44 @@ class DataLoader:
     def _csv(self, path: str, options: dict[str, Any]) -> DataFrame:
         data = sniff.head(self.spark, path)
         try:
-            code = options.pop("encoding", None) or sniff.encoding(data, self.encoding_fallbacks)
+            given = options.pop("encoding", None)
+            code = given or sniff.encoding(data, self.encoding_fallbacks)
         except UnicodeDecodeError as e:
             raise DataLoadError(f"No encoding fits {path}") from e
         sep = options.pop("sep", None) or sniff.separator(data.decode(code, "replace"))
         if not data.strip():
             raise DataLoadError(f"{path} has no columns")
-        raw = self.spark.read.options(**{"header": True, "inferSchema": False, "multiLine": False, "escape": '"', **options}).csv(path, sep=sep, encoding=SPARK_ENCODINGS.get(code.lower(), code))
+        if "multiLine" not in options:
+            options["multiLine"] = sniff.has_open_quotes(self.spark, path)
+        read = lambda name: self.spark.read.options(**{"header": True, "inferSchema": False, "escape": '"', **options}).csv(path, sep=sep, encoding=SPARK_ENCODINGS.get(name.lower(), name))
+        raw = read(code)
+        if not given and code.lower() in ("utf-8", "utf8") and self._broken(raw, read):
+            # a later byte than those looked at first does not fit
+            others = [x for x in self.encoding_fallbacks if x.lower() not in ("utf-8", "utf8")]
+            if not others:
+                raise DataLoadError(f"No encoding fits {path}")
+            code = others[0]
+            raw = read(code)
         if code.lower() in ("cp1252", "windows-1252"):  # Spark reads Latin-1; the bytes where they differ are put right here
             high = bytes(range(0x80, 0xA0))
             pairs = [(a, b) for a, b in zip(high.decode("latin-1"), high.decode("cp1252", "replace"), strict=True) if b != "\ufffd"]
             raw = raw.select(*(F.translate(C.quoted(c), "".join(a for a, _ in pairs), "".join(b for _, b in pairs)).alias(c) for c in raw.columns))
         return typed(raw, self.parse_dates, self.optimize_types)
 
+    @staticmethod
+    def _broken(raw: DataFrame, read: Callable[[str], DataFrame]) -> bool:
+        """Whether bytes of a file read as UTF-8 were no UTF-8: more replacement characters than the file has of its own."""
+
+        def count(df: DataFrame, mark: str) -> int:
+            if not df.columns:
+                return 0
+            size = lambda c: F.length(C.quoted(c)) - F.length(F.replace(C.quoted(c), F.lit(mark), F.lit("")))
+            in_rows = df.agg(*(F.coalesce(F.sum(size(c)), F.lit(0)).alias(f"n{i}") for i, c in enumerate(df.columns))).first()
+            return sum(in_rows) // len(mark) + sum(c.count(mark) for c in df.columns)
+
+        found = count(raw, "\ufffd")
+        return found > 0 and found != count(read("iso-8859-1"), "\u00ef\u00bf\u00bd")
+
     def load_from_buffer(self, buffer: bytes | io.BytesIO, file_extension: str = ".csv", **options: Any) -> DataFrame:
         """A frame of bytes in the driver's memory; CSV has commas unless sep says otherwise."""
         data = buffer.read() if hasattr(buffer, "read") else bytes(buffer)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 ENCODINGS = ["utf-8", "latin-1", "iso-8859-1", "cp1252"]
 SEPARATORS = [",", "\t", ";", "|"]
@@ -47,6 +48,12 @@ def encoding(data: bytes, candidates: list[str] | None = None) -> str:
     raise UnicodeDecodeError("head", data[:8], 0, 1, "no candidate encoding fits")
 
 
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line ends within quotes, so that rows go over lines; the file is read by all tasks for it."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def separator(text: str) -> str:
     """The separator that stands most often in the first five lines; a comma if none does."""
     lines = "\n".join(text.splitlines()[:5])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# The names, values and fields of these types and records are a contract with their users.
 from dataclasses import dataclass, field
 from datetime import datetime
 from enum import StrEnum
@@ -134,6 +135,26 @@ class QualityScore:
     improvement_areas: list[str] = field(default_factory=list)
     strengths: list[str] = field(default_factory=list)
 
+    @property
+    def overall_score(self) -> float:
+        return self.overall
+
+    @property
+    def completeness_score(self) -> float:
+        return self.completeness
+
+    @property
+    def uniqueness_score(self) -> float:
+        return self.uniqueness
+
+    @property
+    def validity_score(self) -> float:
+        return self.validity
+
+    @property
+    def consistency_score(self) -> float:
+        return self.consistency
+
     def __post_init__(self) -> None:
         self.grade = self.grade or grade(self.overall)
         self.summary = self.summary or f"Data quality is {self.overall:.1f} of 100, grade {self.grade}."

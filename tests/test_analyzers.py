@@ -23,7 +23,7 @@ from edascope import (
 )
 from edascope.functions import columns as C
 from edascope.functions import stats as S
-from edascope.operators import correlation, duplicates, forest, lof, outliers, profile
+from edascope.operators import correlation, duplicates, forest, lof, outliers, profile, quality, schema
 
 
 @pytest.fixture(scope="module")
@@ -268,3 +268,80 @@ def test_report(spark, sample, tmp_path):
     own.write_text("T:$title")
     assert HTMLReportGenerator(str(own)).generate(report) == "T:a &lt;data&gt; set"
     assert set(HTMLReportGenerator().charts(report)) >= {"missing", "correlations"}
+
+
+def test_rules_look_at_columns_of_their_kind(spark):
+    df = spark.createDataFrame([("a", 1, True), ("b", 5, False), ("c", None, True)], "t string, n int, b boolean")
+    rules = {"t": {"min": 3, "allowed": ["a", "b", 7]}, "n": {"min": 2, "allowed": [5, "x"]}, "b": {"allowed": [True]}}
+    rows = {r["column_name"]: r["valid_count"] for r in quality.validity_by_column_df(df, rules).collect()}
+    assert rows == {"t": 2, "n": 1, "b": 2}
+    assert {r["column_name"]: r["valid_count"] for r in quality.validity_by_column_df(df, {"t": {"min": 1, "max": 2}, "n": {"allowed": ["1"]}}).collect()} == {"t": 3, "n": 0, "b": 3}
+
+
+def test_score_names(spark):
+    q = QualityScorer().score(spark.createDataFrame([(1,), (2,), (2,)], "a int"))
+    assert (q.overall_score, q.completeness_score, q.uniqueness_score, q.validity_score, q.consistency_score) == (q.overall, q.completeness, q.uniqueness, q.validity, q.consistency)
+
+
+def test_cardinality_names(spark):
+    df = spark.createDataFrame([(i, min(i, 94), i % 60, i % 5) for i in range(100)], "u int, vh int, h int, l int")
+    assert {r["column_name"]: r["cardinality"] for r in schema.schema_df(df).collect()} == {"u": "unique", "vh": "very-high", "h": "high", "l": "low"}
+
+
+@pytest.mark.parametrize(
+    "name, values, want",
+    [
+        ("phone_no", ["+1 555 010 2030", "0555 123 4567", "(030) 123456"], "phone"),
+        ("phone_no", ["none", "call me", "x"], None),
+        ("ip_address", ["10.0.0.1", "192.168.1.20", "8.8.8.8"], "ip_address"),
+        ("ipv6", ["2001:0db8:0000:0000:0000:ff00:0042:8329"] * 3, "ip_address"),
+        ("home_address", ["1 Main St", "2 Side St", "3 Low Rd"], "address"),
+        ("tax_rate", ["0.1", "0.25", "0.3"], "percentage"),
+        ("city", ["A", "B", "C"], "address"),
+        ("website", ["https://a.b", "www.c.d", "http://e"], "url"),
+    ],
+)
+def test_semantic_types(spark, name, values, want):
+    df = spark.createDataFrame([(None,)] * 1100 + [(v,) for v in values], f"`{name}` string")
+    assert schema.SchemaDetector().detect(df).columns[name].semantic_type == want
+
+
+def test_places_in_the_order_of_keys(spark):
+    rnd = random.Random(2)
+    keys = sorted({(rnd.choice("abc"), rnd.randint(0, 400)) for _ in range(900)})
+    df = spark.createDataFrame(rnd.sample(keys, len(keys)), "a string, b int").repartition(5)
+    got = {(r.a, r.b): r.i for r in duplicates.numbered_df(df, ["a", "b"], "i", ranges=16).collect()}
+    assert got == {k: i for i, k in enumerate(keys)}
+    assert duplicates.numbered_df(df.limit(0), ["a", "b"], "i").count() == 0
+
+
+def test_fuzzy_pairs_against_all_pairs(spark):
+    # up to 141 rows the compatible search compares all pairs
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("abcdef ") for _ in range(20)) for _ in range(30)]
+    texts = [t[:k] + "z" + t[k + 1 :] for t in texts for k in (3, 11, 19)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {(r.index_1, r.index_2): round(r.similarity, 9) for r in duplicates.fuzzy_pairs_df(df, "k", ["t"]).collect()}
+    want = {(i, j): round(s, 9) for i in range(len(texts)) for j in range(i + 1, len(texts)) if 0.85 <= (s := SequenceMatcher(None, texts[i], texts[j]).ratio()) < 1}
+    assert got == want and len(want) >= 60
+
+
+def test_multivariate_forest_flags_the_rows_that_stand_apart(spark):
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(0, 1, (2_000, 2))
+    rows = [(float(a), float(a + 0.1 * b)) for a, b in x] + [(60.0, -60.0), (-70.0, 70.0), (80.0, 80.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = forest.multivariate_df(df, contamination=0.01)
+    hits = {(round(r.x0, 6), round(r.x1, 6)) for r in got.where("is_outlier").collect()}
+    top = {(round(r.x0, 6), round(r.x1, 6)) for r in got.orderBy(F.desc("score")).limit(3).collect()}
+    a, b = np.array(rows).T
+    apart = {(round(float((p - a.mean()) / a.std()), 6), round(float((q - b.mean()) / b.std()), 6)) for p, q in rows[-3:]}
+    assert top == apart and apart <= hits and 15 <= len(hits) <= 21 and got.count() == 2_003
+
+
+def test_outlier_chart(spark):
+    from edascope import HTMLReportGenerator, analyze_all
+
+    df = spark.createDataFrame([(float(i % 20),) for i in range(100)] + [(900.0,)], "amount double")
+    page = HTMLReportGenerator().generate(analyze_all(df, "t"))
+    assert "amount" in page and "<svg" in page

@@ -92,3 +92,48 @@ def test_parquet_and_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["count"] for r in spark.sql("SELECT * FROM windows").collect()) == 10
+
+
+def test_bytes_that_break_an_encoding_late_in_a_file(spark, tmp_path):
+    body = "".join(f"{i},plain text of row {i}\n" for i in range(6_000))
+    (tmp_path / "late.csv").write_bytes(("A,B\n" + body + "6000,").encode() + "café\n".encode("latin-1"))
+    got = DataLoader(spark).load(str(tmp_path / "late.csv"))
+    assert got.count() == 6_001 and got.orderBy("A").tail(1)[0]["B"] == "café"
+    # replacement characters of the file's own are no damage
+    (tmp_path / "own.csv").write_text("A,B\n" + body + "6000,caf� é\n", encoding="utf-8")
+    assert DataLoader(spark).load(str(tmp_path / "own.csv")).orderBy("A").tail(1)[0]["B"] == "caf� é"
+    with pytest.raises(DataLoadError):
+        DataLoader(spark, encoding_fallbacks=["utf-8"]).load(str(tmp_path / "late.csv"))
+
+
+def test_quoted_newlines(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('A,B\n1,"two\nlines, and a ""quote"""\n2,one\n')
+    got = DataLoader(spark).load(str(tmp_path / "q.csv")).orderBy("A").collect()
+    assert [tuple(r) for r in got] == [(1, 'two\nlines, and a "quote"'), (2, "one")]
+    (tmp_path / "p.csv").write_text('A,B\n1,"a ""b"" c"\n2,one\n')
+    assert DataLoader(spark).load(str(tmp_path / "p.csv")).orderBy("A").first()["B"] == 'a "b" c'
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        ["1/2/2020", "11/12/2021", "3/4/2022"],
+        ["13/2/2020", "14/12/2021", "31/1/2022"],
+        ["2020-1-2", "2021-11-12", "2022-3-14"],
+        ["2020-01-02T03:04:05+02:00", "2021-01-02T03:04:05.123Z", "2022-01-02T03:04:05-05:00"],
+        ["2020-01-02 03:04", "2021-01-02 13:14", "2022-01-02 23:59"],
+        ["2020/1/2", "2021/11/12", "2022/3/14"],
+        ["May 1, 2020", "Jun 21, 2021", "Jan 3, 2022"],
+        ["1 Jan 2020", "21 Feb 2021", "3 Mar 2022"],
+        ["1.2.2020", "21.12.2021", "3.4.2022"],
+    ],
+)
+def test_dates_of_many_forms(spark, tmp_path, values):
+    (tmp_path / "d.csv").write_text("A\tD\n" + "".join(f"{i}\t{v}\n" for i, v in enumerate(values)))
+    df = DataLoader(spark).load(str(tmp_path / "d.csv"))
+    assert dict(df.dtypes)["D"] == "timestamp" and [r["D"].year for r in df.orderBy("A").collect()] == [2020, 2021, 2022]
+
+
+def test_texts_that_are_no_dates(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("A\nword 2020 word\n99/99/2020\n2020-13-45\nyear 2021 ends\n")
+    assert dict(DataLoader(spark).load(str(tmp_path / "t.csv")).dtypes) == {"A": "string"}
