@@ -198,9 +198,10 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _radix(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of the rows (group, id, packed, bytes), each group's in order of id and place.
+    """Sorts the windows of the rows (group, id, packed, bytes), each group's in order of id and place, by most-significant-digit passes.
 
-    Returns row and start of every window, and whether an equal one comes before.
+    Groups of one fall out after each pass, and those left at last are equal
+    windows, byte by byte. Returns row and start of every window, and whether an equal one comes before.
     """
     blob = np.frombuffer(b"".join(r[3] for r in rows) + bytes(DIGIT), np.uint8)
     size = np.array([len(r[3]) for r in rows])
@@ -211,23 +212,24 @@ def _radix(rows: list[tuple], length: int) -> tuple[np.ndarray, np.ndarray, np.n
     back = np.array([r[2] >> 8 & 0xFF for r in rows])
     group = np.array([r[0] for r in rows])
     at = base[row] + k
-    digits = np.zeros(len(blob) - DIGIT + 1, _U)
+    digits = np.zeros(len(blob) - DIGIT + 1, _U)  # the first byte counts most, as in the order of strings
     for b in range(DIGIT):
-        digits |= blob[b : b + len(digits)].astype(_U) << _U(8 * b)
+        digits |= blob[b : b + len(digits)].astype(_U) << _U(8 * (DIGIT - 1 - b))
     # equal windows lie alike around their anchor
     label = pd.factorize((group[row] << 8) + (k - back[row] + 128))[0].astype(np.int64)
     live = np.arange(len(row))
     for d in range(0, length, DIGIT):
         kept = np.bincount(label)[label] > 1
         live, label = live[kept], label[kept]
-        if not len(live):
-            break
-        place = at[live] + min(d, length - DIGIT)
-        label = pd.factorize(vt.mixed(label.astype(_U) * _U(0x9E3779B97F4A7C15) ^ vt.mixed(digits[place])))[0].astype(np.int64)
+        # within its group each window goes to its digit's place; equal ones stay in order of id and place
+        key = digits[at[live] + min(d, length - DIGIT)]
+        order = np.lexsort((key, label))
+        live, label, key = live[order], label[order], key[order]
+        new = np.ones(len(live), bool)
+        new[1:] = (label[1:] != label[:-1]) | (key[1:] != key[:-1])
+        label = np.cumsum(new) - 1
     repeated = np.zeros(len(row), bool)
-    if len(live):
-        later = pd.Series(label).duplicated(keep="first").to_numpy()
-        repeated[live[later]] = True
+    repeated[live[1:][label[1:] == label[:-1]]] = True
     return row, k, repeated
 
 
