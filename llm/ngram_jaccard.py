@@ -232,9 +232,10 @@ class Region:
     Regions are parted again as long as that saves comparisons: the squares of
     the windows' sizes and the distances to pivots add up to less than the
     square of the region's. So no region ever costs more than all its pairs.
+    In one of up to PIVOTS sets each becomes a pivot, and all links are its ball's.
     """
 
-    LEAF, PIVOTS, TILE, COLUMNS = 2, 12, 2048, 2048
+    PIVOTS, TILE, COLUMNS = 12, 2048, 2048
 
     def __init__(self, sets: list[np.ndarray], percent: int) -> None:
         self.n = np.array([len(s) for s in sets], np.int64)
@@ -271,8 +272,6 @@ class Region:
         if len(roots) == 1:
             return []
         local, own, bounds = self._rows(members)
-        if len(members) <= self.LEAF:
-            return self._every(members, local, own, bounds)
         n, flag = self.n[members], np.zeros(self.universe, bool)
         nearest, far, p = np.full(len(members), np.inf), [], 0
         for _ in range(self.PIVOTS):
