@@ -92,17 +92,23 @@ def gini(df: DataFrame, column: str) -> DataFrame:
     return total.select(F.when(F.col("s") != 0, 2 * F.col("w") / (F.col("m") * F.col("s")) - (F.col("m") + 1) / F.col("m")).alias("gini"))
 
 
-def ranked(values: DataFrame, keys: list[str] | None = None, buckets: int = 1024) -> DataFrame:
+def ranked(values: DataFrame, keys: list[str] | None = None, cells: int = 64, parts: int = 16) -> DataFrame:
     """values (keys..., v, n) with before added: how many rows of the same keys have a lesser v.
 
-    Distinct values fall into buckets of equal width; running sums go over a
-    bucket's values and over the few buckets, so no task holds a column.
+    Distinct values fall into cells of about equal number, by a sketch's
+    quantiles, and each cell's into parts of equal width, so that far values
+    don't put the others in one bucket; running sums go over a bucket's values
+    and over the few buckets, so no task holds a column.
     """
     keys = keys or []
-    bounds = values.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    cuts = F.percentile_approx("v", F.array(*(F.lit(k / cells) for k in range(1, cells))), F.lit(1000))
+    bounds = values.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), cuts.alias("cuts"))
     placed = values.join(F.broadcast(bounds), keys) if keys else values.crossJoin(F.broadcast(bounds))
-    share = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0))
-    placed = placed.withColumn("bucket", F.least(F.floor(share * buckets), F.lit(buckets - 1))).drop("lo", "hi")
+    placed = placed.withColumn("cell", F.size(F.filter("cuts", lambda c: c <= F.col("v"))))
+    low = F.coalesce(F.when(F.col("cell") > 0, F.get("cuts", F.col("cell") - 1)), F.col("lo"))
+    high = F.coalesce(F.get("cuts", F.col("cell")), F.col("hi"))
+    share = F.nanvl(F.coalesce(F.try_divide(F.col("v") - low, high - low), F.lit(0.0)), F.lit(0.0))
+    placed = placed.withColumn("bucket", F.col("cell") * parts + F.least(F.floor(share * parts), F.lit(parts - 1))).drop("lo", "hi", "cuts", "cell")
     sizes = placed.groupBy(*keys, "bucket").agg(F.sum("n").alias("size"))
     below = F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.withColumn("below", below).drop("size")

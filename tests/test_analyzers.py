@@ -344,3 +344,14 @@ def test_outlier_chart(spark):
     df = spark.createDataFrame([(float(i % 20),) for i in range(100)] + [(900.0,)], "amount double")
     page = HTMLReportGenerator().generate(analyze_all(df, "t"))
     assert "amount" in page and "<svg" in page
+
+
+def test_ranks_where_one_value_is_far(spark):
+    rnd = random.Random(6)
+    rows = {(k, v): rnd.randint(1, 5) for k in "ab" for v in [*(rnd.random() for _ in range(400)), 0.0, -1e300, 1e300, float("inf"), 7.0]}
+    df = spark.createDataFrame([(k, v, n) for (k, v), n in rows.items()], "k string, v double, n long")
+    got = {(r.k, r.v): r.before for r in S.ranked(df, ["k"]).collect()}
+    assert got == {(k, v): sum(n for (j, w), n in rows.items() if j == k and w < v) for k, v in rows}
+    one = S.ranked(df.where("k = 'a'").drop("k"))
+    assert {r.v: r.before for r in one.collect()} == {v: b for (k, v), b in got.items() if k == "a"}
+    assert S.ranked(df.limit(0), ["k"]).count() == 0
