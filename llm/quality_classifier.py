@@ -202,11 +202,13 @@ def trained(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most
     """Fits on labelled rows only: at most most_labels of them, drawn by a hash of doc_id.
 
     Rows with a null id or label are left out, and an id's labels are averaged
-    and rounded. Only these rows' texts are read into the fit.
+    and rounded. Of an id on several rows the one of least statistics counts,
+    so that a fit does not depend on the order of rows. Only these rows' texts
+    are read into the fit.
     """
     wanted = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.round(F.avg(label_col)).cast("double").alias("y"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
-    sample = described(docs.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]).join(F.broadcast(wanted), "doc_id").orderBy("doc_id").select("y", *STATISTICS).toArrow()
+    sample = described(docs.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("s")).select("doc_id", "s.*").join(F.broadcast(wanted), "doc_id").orderBy("doc_id").select("y", *STATISTICS).toArrow()
     x = np.stack([sample[c].to_numpy() for c in STATISTICS], axis=1) if sample.num_rows else np.zeros((0, len(STATISTICS)))
     return fit(x, sample["y"].to_numpy()) if sample.num_rows else RuleEnsemble()
 

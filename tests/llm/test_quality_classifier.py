@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from llm.quality_classifier import STATISTICS, RuleEnsemble, fit, query, scored, statistics, trained
 
@@ -46,3 +47,11 @@ def test_held_out_accuracy(spark):
     assert np.mean([p == q for p, q in pairs]) > 0.95
     clean = [p for p, q in pairs if q]
     assert np.mean(clean) > 0.98
+
+
+def test_ids_that_repeat_fit_the_same_in_any_order(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    other = docs.withColumn("text", F.lit("some other text of this id. " * 9))
+    one, two = (trained(x, labels) for x in (docs.union(other).repartition(3), other.union(docs).coalesce(1)))
+    assert (one.intercept, one.rules) == (two.intercept, two.rules)
