@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -25,11 +26,21 @@ def named(column: str) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all machines of the cluster see."""
+    """The folder named in spark.checkpoint.dir, which all machines of the cluster see.
+
+    Where the session names none and Spark runs on this machine alone, as in
+    tests, one of its own until the driver ends; on a cluster an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir names no folder; intermediate tables need one that all machines share")
-    return folder.rstrip("/")
+    if not hasattr(context, "_llm_folder"):
+        context._llm_folder = tempfile.mkdtemp(prefix="llm-shared-")
+        atexit.register(shutil.rmtree, context._llm_folder, ignore_errors=True)
+    return f"file://{context._llm_folder}"
 
 
 def shipped(spark: SparkSession) -> None:
